@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
+from .queries import everything
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in everything()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.everything()

@@ -1,0 +1,15 @@
+"""File formats as Spark data sources."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def register(spark: SparkSession) -> None:
+    """Make ledgerchunk, hashstore and ledgerdb known to a session."""
+    from .chunk import ChunkSource
+    from .hashstore import StoreSource
+    from .ledgerdb import IndexSource
+
+    for source in (ChunkSource, StoreSource, IndexSource):
+        spark.dataSource.register(source)
