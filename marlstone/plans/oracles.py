@@ -61,7 +61,7 @@ def everything() -> dict[str, str]:
     return {
         "tx_ids": f"{tx} SELECT event_id, ledger_seq, tx_hash FROM tx",
         "ledger_tx_roots": f"{_tx_trie()} SELECT root.g AS ledger_seq, n AS n_tx, root.h AS root FROM root JOIN (SELECT g, count(*) AS n FROM leaf GROUP BY g) c ON c.g = root.g",
-        "trie_node_counts": f"{_tx_trie()} SELECT g AS ledger_seq, CAST(d AS BIGINT) AS depth, count(*) AS partnodes FROM part GROUP BY ALL",
+        "trie_node_counts": f"{_tx_trie()} SELECT g AS ledger_seq, CAST(d AS BIGINT) AS depth, count(*) AS inner_nodes FROM part GROUP BY ALL",
         "leaf_placement": f"{_tx_trie()} SELECT g AS ledger_seq, path AS tx_hash, CAST(depth AS BIGINT) AS depth, CAST('0x' || substr(path, CAST(depth AS INT) + 1, 1) AS BIGINT) AS slot, h AS leaf_hash FROM leaf",
         "tx_leaf_parse": f"{tx} SELECT event_id, lower(hex(blob)) AS tx_blob, lower(hex(meta)) AS meta_blob, tx_hash FROM tx",
         "trie_transactions": f"{tx} SELECT ledger_seq, tx_hash, octet_length(blob) AS blob_bytes FROM tx",
