@@ -2,35 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import shared_folder, stage
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["anti", "may_contain", "shared_folder", "small_batches", "stage", "table", "text_of"]
+
+#: A membership filter has FILTER_BITS bits for each key, at most FILTER_MAX_BITS (8 MB in all).
+FILTER_BITS, FILTER_MAX_BITS, BITMAP_BITS = 16, 1 << 26, 32768
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Give Python workers batches of rows rows at most: whole texts and what is made of them stay small in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(key))
+    if held <= 0 or held > rows:
+        spark.conf.set(key, rows)
 
 
 def text_of(name: str) -> Column:
@@ -42,3 +34,22 @@ def anti(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFra
     """docs without the rows whose id is in dropped (one column); rows without an id stay."""
     gone = dropped.toDF("__gone").distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+def may_contain(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key's bit is set in a bitmap of keys: all whose key is there and few others, without a shuffle of rows.
+
+    The bitmap is broadcast; it has FILTER_MAX_BITS bits at most, whatever the input. Beyond
+    them it lets more rows through, so what is asked of the rows must be asked again.
+    """
+    bits = BITMAP_BITS
+    while bits < min(FILTER_MAX_BITS, FILTER_BITS * keys.count()):
+        bits *= 2
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    bucket = lambda c: (c / BITMAP_BITS).cast("long")
+    bitmap = keys.select(slot.alias("__slot")).groupBy(bucket(F.col("__slot")).alias("__bucket")).agg(F.bitmap_construct_agg(F.col("__slot") % BITMAP_BITS).alias("__bitmap"))
+    probed = rows.withColumn("__slot", slot).withColumn("__bucket", bucket(F.col("__slot"))).join(F.broadcast(bitmap), "__bucket")
+    at = F.col("__slot") % BITMAP_BITS
+    byte = F.conv(F.hex(F.substring("__bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
+    return probed.where(bit).select(*rows.columns)

@@ -18,10 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, text_of
-
-#: The hit filter has FILTER_BITS_PER_HIT bits for each hit, at most FILTER_MAX_BITS (8 MB in all).
-FILTER_BITS_PER_HIT, FILTER_MAX_BITS, BITMAP_BITS = 16, 1 << 26, 32768
+from .common import may_contain, stage, table, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -39,8 +36,8 @@ def _head() -> Column:
 def flush(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """Level 0: a sorted run for each memtable."""
     text = normalised(text_of(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", digest(F.col("text")).alias("digest"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
-    rows = rows.withColumn("sha", F.unhex("sha")) .withColumn("uid", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", digest(F.col("text")).alias("digest"), sha256(F.col("text")).alias("sha"))
+    rows = rows.withColumn("uid", F.monotonically_increasing_id())
     return stage(rows.sortWithinPartitions("digest"), "lsm-runs", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
 
 
@@ -50,29 +47,10 @@ def compact(runs: DataFrame) -> DataFrame:
     return stage(merged.sortWithinPartitions("digest"), "lsm-level", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
 
 
-def _may_hit(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows whose digest's bit is set in the bitmap of hits: all hits, and few others."""
-    bits = BITMAP_BITS
-    while bits < min(FILTER_MAX_BITS, FILTER_BITS_PER_HIT * hits.count()):
-        bits *= 2
-    slot = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    bitmap = (
-        hits.select(slot.alias("slot"))
-        .groupBy((F.col("slot") / BITMAP_BITS).cast("long").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.col("slot") % BITMAP_BITS).alias("bitmap"))
-    )
-    at = F.col("slot") % BITMAP_BITS
-    byte = F.conv(F.hex(F.substring("bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("shiftright(byte, cast(slot % 8 as int)) & 1")
-    probed = rows.withColumn("slot", slot).withColumn("bucket", (F.col("slot") / BITMAP_BITS).cast("long"))
-    # The bitmap has FILTER_MAX_BITS / 8 bytes at most, whatever the input.
-    return probed.join(F.broadcast(bitmap), "bucket").withColumn("byte", byte).where(bit == 1)
-
-
 def torn(docs: DataFrame, level: DataFrame, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """Digests that stand for different texts, found by comparing the bytes of all hits."""
     rows = docs.select(normalised(text_of(text_col)).alias("text")).select(digest(F.col("text")).alias("digest"), "text")
-    ends = _may_hit(rows, level.where("n > 1")).groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
+    ends = may_contain(rows, level.where("n > 1"), "digest").groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
     return stage(ends.where("least <> most").select("digest"), "lsm-torn")
 
 

@@ -3,10 +3,14 @@
 Each of HASHES permutations gives two signature values, the least and the largest hash of
 a document's shingles, so 2 * HASHES values cost HASHES evaluations. Bands of BAND values
 are the buckets. Documents with equal shingle sets form a class first, and only one of a
-class goes on. In a bucket each class is compared with the bucket's smallest id; then,
-where a bucket still holds classes of different components, those are compared with each
-other, so that every pair that shares a bucket is linked or joined by links or was found
-too different. Links are confirmed on whole shingle sets. A pair at the threshold of 0.8
+class goes on. In each of ROUNDS rounds every class of a bucket that is not yet in one component with
+the bucket's hub is compared with it; the hub is the smallest id, then another member in
+each round, and what is linked is one component from then on. So the pairs of a round grow
+with a bucket, not with its square, and large groups of near copies become one component.
+Where a bucket still holds several components after that, their members are compared with
+each other: in blocks of BLOCK members, by counts of shingles in BINS bins first, as two
+sets share no more than the sum of the smaller counts. So every pair that shares a bucket
+is linked, or joined by links, or was found too different. Links are confirmed on whole shingle sets. A pair at the threshold of 0.8
 shares no bucket with a probability of (1 - 0.8 ** 4) ** 24, about three in a million.
 
 Shingles are WIDTH consecutive words as they stand, after lower-casing A-Z; a text with
@@ -19,15 +23,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, text_of
+from .common import may_contain, small_batches, stage, table, text_of
 from .components import components
 
-HASHES, BAND, WIDTH, PERCENT = 48, 4, 5, 80
+HASHES, BAND, WIDTH, PERCENT, ROUNDS = 48, 4, 5, 80, 2
+BINS, BLOCK = 512, 1024
 _WORDS = 200_000
 
 
@@ -104,7 +110,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, hashes:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough; texts are read for documents in pairs alone."""
+    """ca, cb of the pairs (a, b, ca, cb) whose shingle sets are similar enough; texts are read for documents in pairs alone."""
 
     def shingles(text: str) -> set:
         w = words_of(text)
@@ -113,8 +119,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, set()
         for b in batches:
-            left, right = b.column("a").to_pylist(), b.column("b").to_pylist()
-            texts, others = b.column("text_a"), b.column("text_b")
+            right, texts, others = b.column("b").to_pylist(), b.column("text_a"), b.column("text_b")
             ok = []
             for i in range(b.num_rows):
                 if right[i] != last:
@@ -122,46 +127,114 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
                 s = shingles(texts[i].as_py())
                 both = len(s & last_set)
                 ok.append(bool(s) and 100 * both >= percent * (len(s) + len(last_set) - both))
-            keep = [i for i, x in enumerate(ok) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([left[i] for i in keep], b.schema.field("a").type), pa.array([right[i] for i in keep], b.schema.field("b").type)], ["a", "b"])
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("ca").filter(keep), b.column("cb").filter(keep)], ["a", "b"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    texts = may_contain(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     kind = docs.schema[id_col].dataType.simpleString()
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(one, "a").join(two, "b").select("b", "ca", "cb", "text_a", "text_b")
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def bin_counts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """rep and bins, the number of its shingles in each of BINS bins as bytes, of the documents in ids (rep); null where a number exceeds a byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                n = np.bincount((shingle_hashes(words_of(t), width, known) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                out.append(n.astype(np.uint8).tobytes() if n.max() < 256 else None)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(out, pa.binary())], ["rep", "bins"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("rep"), text_of(text_col).alias("text"))
+    kind = rows.schema["rep"].dataType.simpleString()
+    return may_contain(rows, ids, "rep").mapInArrow(run, f"rep {kind}, bins binary").dropDuplicates(["rep"])
+
+
+def across(member: DataFrame, kind: str, percent: int) -> DataFrame:
+    """(a, b, ca, cb): pairs of a bucket's members of different components whose sizes and bins allow the similarity. member: band, value, rep, n, c, bins."""
+    groups = ["band", "value", "i", "j"]
+
+    def pairs(f: pd.DataFrame) -> pd.DataFrame:
+        rep, n, c, own = (f[x].to_numpy() for x in ("rep", "n", "c", "own"))
+        bins = np.stack([np.frombuffer(x, np.uint8) if x is not None else np.full(BINS, 255, np.uint8) for x in f["bins"]])
+        loose = f["bins"].isna().to_numpy()
+        cross = f["i"].iloc[0] != f["j"].iloc[0]
+        found: tuple[list, ...] = ([], [], [], [])
+        for x in range(len(f) - 1):
+            y = np.arange(x + 1, len(f))
+            y = y[(c[y] != c[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            if cross:
+                y = y[own[y] != own[x]]
+            if not loose[x] and len(y):
+                shared = np.minimum(bins[x], bins[y]).sum(axis=1, dtype=np.int64)
+                # 100 * s >= percent * (n + m - s)
+                y = y[loose[y] | ((100 + percent) * shared >= percent * (n[x] + n[y]))]
+            for k in y:
+                hi, lo = (x, k) if rep[x] > rep[k] else (k, x)
+                for column, value in zip(found, (rep[hi], rep[lo], c[hi], c[lo]), strict=True):
+                    column.append(value)
+        return pd.DataFrame(dict(zip(("a", "b", "ca", "cb"), found, strict=True)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            if not len(f):
+                continue
+            k = f[groups].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.any(k[1:] != k[:-1], axis=1)) + 1])
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if hi - lo > 1:
+                    yield pairs(f.iloc[lo:hi])
+            held = f.iloc[starts[-1] :]
+        if held is not None and len(held) > 1:
+            yield pairs(held)
+
+    sizes = member.groupBy("band", "value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    cells = member.join(sizes, ["band", "value"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "c", "bins")
+    return cells.repartition(*groups).sortWithinPartitions(*groups).mapInPandas(run, f"a {kind}, b {kind}, ca {kind}, cb {kind}")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, hashes: int = HASHES, band: int = BAND) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     docs = docs.select(id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
     rows = stage(signatures(docs, id_col, text_col, width, hashes, band), "minhash-rows")
     full = rows.where("class is not null and id is not null")
     classes = stage(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
     buckets = classes.select("rep", "n", F.posexplode("bands").alias("band", "value"))
-    hubs = buckets.groupBy("band", "value").agg(F.min("rep").alias("hub"), F.min(F.struct("rep", "n"))["n"].alias("hub_n"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stage(buckets.join(hubs, ["band", "value"]).select("band", "value", "rep", "n", "hub", "hub_n", "size"), "minhash-buckets")
-
-    def near(n: str, m: str):  # sizes that a similarity of percent allows
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m))
-
-    pairs = shared.where((F.col("rep") != F.col("hub")) & near("n", "hub_n")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stage(confirmed(pairs, docs, id_col, text_col, width, percent), "minhash-links")
-    found = components(links)
-
-    # Buckets that still hold several components: compare their members across components.
-    member = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-    open_ = member.groupBy("band", "value").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("size").alias("s")).where("c0 < c1 and s > 2").select("band", "value")
-    left = stage(member.join(open_, ["band", "value"]).select("band", "value", "rep", "n", "c", "hub"), "minhash-open")
-    if not left.isEmpty():
-        x = left.select("band", "value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "hub")
-        y = left.select("band", "value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        # Pairs with the hub have been compared; pairs within a component need not be.
-        more = x.join(y, ["band", "value"]).where((F.col("b") < F.col("a")) & (F.col("b") != F.col("hub")) & (F.col("ca") != F.col("cb")) & near("na", "nb")).select("a", "b").distinct()
-        links = stage(links.unionByName(confirmed(more, docs, id_col, text_col, width, percent)), "minhash-links")
-        found = components(links)
-    by_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
+    hubs = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "value")
+    open_ = buckets.join(hubs, ["band", "value"]).select("band", "value", "rep", "n")
+    found = classes.select("rep", F.col("rep").alias("c"))
+    near = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)  # noqa: E731  sizes that the similarity allows
+    bucket = ["band", "value"]
+    for k in range(ROUNDS + 1):
+        # Members of buckets that still hold several components, with these.
+        member = stage(open_.join(found, "rep"), "minhash-members")
+        order = F.xxhash64("rep", F.lit(k)) if k else F.col("rep")
+        heads = member.groupBy(*bucket).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("rep", "n", "c"), order).alias("hub")).where("c0 < c1")
+        member = stage(member.join(heads.select(*bucket, "hub"), bucket), "minhash-open")
+        if member.isEmpty():
+            break
+        if k < ROUNDS:
+            pairs = member.where((F.col("c") != F.col("hub.c")) & near(F.col("n"), F.col("hub.n"))).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("c").alias("ca"), F.col("hub.c").alias("cb"))
+        else:
+            counts = bin_counts(docs, member.select("rep").distinct(), id_col, text_col, width)
+            pairs = across(member.select(*bucket, "rep", "n", "c").join(counts, "rep"), kind, percent)
+        links = stage(confirmed(stage(pairs.distinct(), "minhash-pairs"), docs, id_col, text_col, width, percent), "minhash-links")
+        joined = components(links)
+        found = stage(found.join(joined.withColumnRenamed("node", "c"), "c", "left").select("rep", F.coalesce("component", "c").alias("c")), "minhash-components")
+        open_ = member.select(*bucket, "rep", "n")
+    by_class = classes.join(found, "rep").select("class", F.col("c").alias("component_id"))
     out = rows.drop("bands").join(by_class, "class", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
