@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..sources import chunk
 from . import sql as S
 from .adapters import LAST
 
@@ -14,6 +15,9 @@ def _state_trie() -> str:
     return f"WITH {S.STATE},\n{S.STATE_ITEMS},\n{S.trie()}"
 
 
+#: A chunk file's name for printf.
+FILE = chunk.filename(1, 0, 1).replace(f"{0:010}", "%010d", 1).replace(f"{1:010}", "%010d")
+
 #: All nodes of the states' tries, and the edges between them.
 NODES = """nodes AS MATERIALIZED (SELECT g, h, 2 AS t FROM part UNION ALL SELECT g, h, 1 FROM leaf),
 edges AS MATERIALIZED (SELECT c.g, p.h AS parent, c.h AS child FROM part c JOIN part p ON p.g = c.g AND p.d = c.d - 1 AND p.p = substr(c.p, 1, c.d - 1) WHERE c.d > 0
@@ -115,7 +119,7 @@ SELECT doc_id, n, lower(hex({S.vl('n')})) AS prefix, CAST(CASE WHEN n <= 192 THE
         "ledger_detail": f"{tx} SELECT row_number() OVER (ORDER BY tx_hash) - 1 AS idx, tx_hash, octet_length(blob) AS blob_bytes, octet_length(meta) AS meta_bytes FROM tx WHERE ledger_seq = 7",
         "canonical_order": f"{tx} SELECT ledger_seq, row_number() OVER (PARTITION BY ledger_seq ORDER BY tx_hash) - 1 AS idx, tx_hash FROM tx",
         "account_ledgers": f"{tx} SELECT ledger_seq, count(*) AS txns, min(tx_hash) AS first_hash FROM tx WHERE user_id = 3 AND ledger_seq BETWEEN 5 AND 20 GROUP BY 1",
-        "chunk_index": f"{tx} SELECT ledger_seq // 10 * 10 AS start_ledger, max(ledger_seq) AS last_ledger, count(DISTINCT ledger_seq) AS ledgers, count(*) AS txns, printf('xrla_1_%010d_%010d.xrla', ledger_seq // 10 * 10, ledger_seq // 10 * 10 + 9) AS file FROM tx GROUP BY ledger_seq // 10",
+        "chunk_index": f"{tx} SELECT ledger_seq // 10 * 10 AS start_ledger, max(ledger_seq) AS last_ledger, count(DISTINCT ledger_seq) AS ledgers, count(*) AS txns, printf('{FILE}', ledger_seq // 10 * 10, ledger_seq // 10 * 10 + 9) AS file FROM tx GROUP BY ledger_seq // 10",
         "wire_nodes": f"{state} SELECT ledger_seq, h AS hash, sha256(content || unhex('01')) AS wire_sha256, CAST(1 AS BIGINT) AS node_type, h AS back FROM st",
         "chunk_roundtrip": f"""{_headers()}, part AS (SELECT * FROM parts), leaf AS (SELECT * FROM leafs), {NODES},
 sums AS (SELECT ledger_seq, count(*) FILTER (op = 'add') AS added, count(*) FILTER (op = 'del') AS deleted FROM ndelta GROUP BY 1)

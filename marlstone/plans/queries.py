@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import history, merkle, report, trie, verify
-from ..sources import hashstore
+from ..sources import chunk, hashstore
 from ..staging import stage
 from ..types import INNER, STATE, ZERO_HASH
 from . import adapters as A
@@ -343,7 +343,7 @@ def account_ledgers(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_index(spark: SparkSession, d: str) -> DataFrame:
     t = A.tx(spark, d).groupBy(report.chunk_of("ledger_seq", 10).alias("start_ledger")).agg(F.count(F.lit(1)).alias("txns"), F.countDistinct("ledger_seq").alias("ledgers"), F.max("ledger_seq").alias("last_ledger"))
-    name = F.format_string("xrla_1_%010d_%010d.xrla", F.col("start_ledger"), F.col("start_ledger") + 9)
+    name = F.format_string(chunk.filename("1", 0, 1).replace(f"{0:010}", "%010d", 1).replace(f"{1:010}", "%010d"), F.col("start_ledger"), F.col("start_ledger") + 9)
     return t.select("start_ledger", "last_ledger", "ledgers", "txns", name.alias("file"))
 
 

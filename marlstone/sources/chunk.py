@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.expr import be, raw
+from ..functions.expr import be
 from ..types import DELTA, HEADER, NODE, TX_ROW
 
 #: Values of the file format (fixed values).
 MAGIC, FOOTER, VERSION = b"XRLA", b"ENDX", 2
+NAME = "xrla_{}_{:010}_{:010}.xrla"
 HEADER_BYTES, DIGEST_AT = 81, 49
 SCHEMAS = {
     "chunk": "path string, network_id bigint, start_ledger bigint, end_ledger bigint, checkpoint_hash binary, chunk_hash binary, checkpoint_nodes bigint",
@@ -38,7 +39,7 @@ class ChunkError(ValueError):
 
 
 def filename(network_id: int, start: int, end: int) -> str:
-    return f"xrla_{network_id}_{start:010}_{end:010}.xrla"
+    return NAME.format(network_id, start, end)
 
 
 def exactly(f: BinaryIO, n: int) -> bytes:
@@ -156,7 +157,7 @@ class ChunkSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         path = self.options["path"].removeprefix("file://")
-        paths = sorted(glob.glob(path)) if glob.has_magic(path) else [os.path.join(path, p) for p in sorted(os.listdir(path)) if p.endswith(".xrla")] if os.path.isdir(path) else [path]
+        paths = sorted(glob.glob(path)) if glob.has_magic(path) else [os.path.join(path, p) for p in sorted(os.listdir(path)) if p.endswith(os.path.splitext(NAME)[1])] if os.path.isdir(path) else [path]
         if not paths:
             raise FileNotFoundError(path)
         return ChunkReader(paths, self.options.get("section", "chunk"))
@@ -219,6 +220,3 @@ def write_chunk(headers: DataFrame, checkpoint: DataFrame, delta: DataFrame, tx:
         f.seek(DIGEST_AT)
         f.write(digest.digest()[:32])
     return path, digest.digest()[:32]
-
-
-__all__ = ["MAGIC", "FOOTER", "ChunkError", "ChunkSource", "filename", "raw", "rows_of", "segments", "write_chunk"]

@@ -6,6 +6,7 @@ import random
 import pytest
 import xxhash
 from marlstone.functions import expr as X
+from marlstone.sources import hashstore
 from pyspark.sql import functions as F
 
 
@@ -115,7 +116,7 @@ def test_values(spark):
 
 def test_store_hash(spark):
     r = random.Random(2)
-    for salt in (0, 1, 42, 0x58524C4158524C41, 2**64 - 1):
+    for salt in (0, 1, 42, hashstore.SALT, 2**64 - 1):
         keys = [r.randbytes(32) for _ in range(10)]
         d = spark.createDataFrame([(bytearray(k),) for k in keys], "k binary")
         got = [x[0] for x in d.select(X.store_hash(F.col("k"), salt)).collect()]

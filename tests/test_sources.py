@@ -61,9 +61,9 @@ def written(r, folder):
 
 def test_chunk_round_trip_and_replay(spark, two, tmp_path):
     path, digest = written(two, tmp_path)
-    assert path.endswith("xrla_1_0000000100_0000000101.xrla")
+    assert path.endswith(chunk.filename(1, 100, 101)) and "_1_0000000100_0000000101." in path
     data = open(path, "rb").read()
-    assert data[:5] == b"XRLA\2" and data[-4:] == b"ENDX" and data[49:81] == digest == half(data[81:])
+    assert data[:5] == chunk.MAGIC + b"\2" and data[-4:] == chunk.FOOTER and data[49:81] == digest == half(data[81:])
     got = api.read_chunk(spark, path)
     for name in ("headers", "checkpoint", "tx"):
         assert sorted(map(str, getattr(got, name).collect())) == sorted(map(str, getattr(two, name).select(*getattr(got, name).columns).collect()))
@@ -82,13 +82,13 @@ def test_every_changed_byte_is_noticed(spark, two, tmp_path):
     data = open(path, "rb").read()
     register(spark)
     for at in (0, 4, 60, 90, len(data) // 2, len(data) - 1):
-        broken = tmp_path / f"broken{at}.xrla"
+        broken = tmp_path / f"broken{at}.bin"
         broken.write_bytes(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :])
         with pytest.raises(Exception, match="chunk|version|digest"):
             spark.read.format("ledgerchunk").option("section", "tx").load(str(broken)).collect()
-    (tmp_path / "short.xrla").write_bytes(data[:50])
+    (tmp_path / "short.bin").write_bytes(data[:50])
     with pytest.raises(Exception, match="end of file"):
-        spark.read.format("ledgerchunk").load(str(tmp_path / "short.xrla")).collect()
+        spark.read.format("ledgerchunk").load(str(tmp_path / "short.bin")).collect()
 
 
 def test_altered_ranges_are_noticed(two):
