@@ -89,6 +89,12 @@ def chunk_links(manifest: DataFrame, headers: DataFrame) -> DataFrame:
     return gaps.unionByName(wrong)
 
 
+def anchors(headers: DataFrame, known: DataFrame) -> DataFrame:
+    """Headers have the hashes that others vouch for. known: ledger_seq, ledger_hash."""
+    both = known.select("ledger_seq", F.col("ledger_hash").alias("wanted")).join(headers.select("ledger_seq", "ledger_hash"), "ledger_seq")
+    return both.where("not (wanted <=> ledger_hash)").select(*_row("anchor", F.col("ledger_seq"), F.col("ledger_hash"), F.col("wanted"), F.col("ledger_hash")))
+
+
 def violations(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

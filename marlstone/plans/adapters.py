@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import Digest, sha256, tx_id
+from ..staging import importable
 
 LAST = 29
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     day = F.datediff(F.col("ts").cast("timestamp_ntz").cast("date"), F.lit("2024-01-01").cast("date")).cast("bigint")
     return e.select("event_id", "user_id", "event_type", "ts", "props", day.alias("ledger_seq"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))

@@ -198,6 +198,12 @@ def test_export_from_stores_and_index(spark, two, tmp_path):
         api.export_chunk(held, index.withColumn("drops", F.col("drops") + 1), 100, 101, str(tmp_path / "out"))
 
 
+def test_anchors(two):
+    known = two.headers.select("ledger_seq", "ledger_hash")
+    assert verify.anchors(two.headers, known).count() == 0
+    assert [r.ledger_seq for r in verify.anchors(two.headers, known.withColumn("ledger_hash", X.raw(bytes(32)))).orderBy("ledger_seq").collect()] == [100, 101]
+
+
 def test_range_limits(two, tmp_path):
     with pytest.raises(ValueError, match="ends after"):
         chunk.write_chunk(two.headers, two.checkpoint, two.delta, two.tx, 100, 100, str(tmp_path))
