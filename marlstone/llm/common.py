@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import shared_folder, stage
+from ..staging import importable, shared_folder, stage
 
-__all__ = ["anti", "may_contain", "shared_folder", "small_batches", "stage", "table", "text_of"]
+__all__ = ["anti", "importable", "may_contain", "shared_folder", "small_batches", "stage", "table", "text_of"]
 
 #: A membership filter has FILTER_BITS bits for each key, at most FILTER_MAX_BITS (8 MB in all).
 FILTER_BITS, FILTER_MAX_BITS, BITMAP_BITS = 16, 1 << 26, 32768
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Give Python workers batches of rows rows at most: whole texts and what is made of them stay small in memory."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     held = int(spark.conf.get(key))
     if held <= 0 or held > rows:

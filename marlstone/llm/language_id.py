@@ -12,7 +12,8 @@ A text's log likelihood is taken as that of EFFECTIVE trigrams at most, as trigr
 text depend on each other. A document is rejected when it holds no letters, or when no
 language reaches MIN_POSTERIOR. Nulls: a null text is empty, null declarations and hosts
 are no evidence. Rows are judged one by one, repeated ones alike; ties go to the language
-that comes first in alphabetical order. Without labelled rows all is rejected as "und".
+that comes first in alphabetical order. Without labelled rows there is nothing to tell
+languages by: all is "und" with a posterior of 0, and what holds letters is kept.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, text_of
+from .common import small_batches, stage, table, text_of
 
 SAMPLE, BINS, SMOOTH = 2000, 1 << 16, 0.05
 EFFECTIVE, MIN_POSTERIOR = 60, 0.5
@@ -71,6 +72,8 @@ class TrigramModel:
 
 
 def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, sample: int = SAMPLE) -> TrigramModel:
+    if label_col not in docs.columns:
+        return TrigramModel([])
     labelled = docs.where(F.col(label_col).isNotNull() & (F.col(label_col) != "") & F.col(text_col).isNotNull())
     rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.lower(label_col).alias("label"), F.col(text_col).alias("text")).orderBy("h", "label", "text").limit(sample)
     return TrigramModel([(r["label"], r["text"]) for r in rows.collect()])
@@ -109,14 +112,15 @@ def _shares(counts: DataFrame, n: int, key: str, above: list[Column], weight: fl
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, model: TrigramModel | None = None, label_col: str = "lang") -> DataFrame:
     """One row per row: id, language, posterior, letters, kept."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     none = F.lit(None).cast("string")
     declared, host = (none if c is None else c for c in (declared, host))
     suffix = suffix_of(host.cast("string")) if suffix is None else suffix
     model = model or fit(docs, text_col, label_col, id_col)
     langs = model.languages
     if not langs:
-        return docs.select(F.col(id_col), F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit(0).cast("long").alias("letters"), F.lit(False).alias("kept"))
+        letters = F.length(F.regexp_replace(text_of(text_col), r"\P{L}", "")).cast("long")
+        return docs.select(F.col(id_col), F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), letters.alias("letters"), (letters > 0).alias("kept"))
     n = len(langs)
     rows = text_evidence(docs, model, id_col, text_col, declared, host, suffix)
 

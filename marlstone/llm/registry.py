@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op2_license_scan": license_scan.SQL, "op9_url_filter": url_filter.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op2_license_scan": license_scan.SQL, "op7_embedding_dedup": embedding_dedup.SQL, "op8_minhash_dedup": minhash_dedup.SQL, "op9_url_filter": url_filter.SQL}
