@@ -1,12 +1,21 @@
-"""Connected components of links by alternating large and small stars; nothing but a count reaches the driver."""
+"""Connected components of links.
+
+Up to LOCAL links, a table of bounded size, are joined in one task; more by alternating
+large and small stars over the whole cluster. Nothing but counts reaches the driver.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 
+LOCAL = 500_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a > b). Large: each larger neighbour moves to the least neighbour; small: each smaller one does."""
@@ -23,9 +32,32 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (the least node reachable) for every node that has a link to another."""
-    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parent: dict = {}
+
+    def root(x):
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for f in frames:
+        for x, y in zip(f["a"].tolist(), f["b"].tolist(), strict=True):
+            p, q = root(x), root(y)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]})
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", local: int = LOCAL) -> DataFrame:
+    """node, component (the least node reachable) for every node that has a link to another. links: a written table, as it is read several times."""
+    links = links.where(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b"))
+    if links.count() <= local:
+        kind = links.schema["a"].dataType.simpleString()
+        return links.coalesce(1).mapInPandas(_joined, f"node {kind}, component {kind}")
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stage(edges, "components")
     mark = _mark(edges)
     while True:
