@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .pretokens import batch_ids, json_ids, slices, with_pieces
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -40,6 +40,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     if most & (most - 1):
         raise ValueError("most must be a power of two")
     path = path or vocabulary_path()
+    small_batches(docs.sparkSession, 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = json_ids(path)

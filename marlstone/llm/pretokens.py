@@ -17,8 +17,8 @@ from .common import text_of
 _S = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: The public pattern of these vocabularies with the white space written out, as \s is ASCII in Java.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Entries of a worker's memory of pieces; beyond them it starts anew.
-MEMO = 400_000
+#: Entries of a worker's memory of pieces.
+MEMO = 500_000
 
 
 def with_pieces(docs: DataFrame, text_col: str, special: str | None = None) -> DataFrame:
@@ -34,16 +34,28 @@ def with_pieces(docs: DataFrame, text_col: str, special: str | None = None) -> D
 
 
 class PieceIds:
-    """Ids of pieces; encode maps a list of new pieces to lists of ids."""
+    """Ids of pieces; encode maps a list of new pieces to lists of ids.
+
+    What was used since the memory was last half full survives when it is full.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = MEMO):
-        self.encode, self.most, self.memo = encode, most, {}
+        self.encode, self.most = encode, most // 2
+        self.memo: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
 
     def of(self, pieces: list[str]) -> list[list[int]]:
-        memo = self.memo
-        if len(memo) + len(pieces) > self.most:
-            memo.clear()
-        new = [p for p in pieces if p not in memo]
+        if len(self.memo) > self.most:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        new = []
+        for p in pieces:
+            if p not in memo:
+                got = old.get(p)
+                if got is None:
+                    new.append(p)
+                else:
+                    memo[p] = got
         memo.update(zip(new, self.encode(new), strict=True))
         return [memo[p] for p in pieces]
 
