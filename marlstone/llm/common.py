@@ -33,8 +33,11 @@ def text_of(name: str) -> Column:
 
 
 def anti(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in dropped (one column); rows without an id stay."""
-    gone = dropped.toDF("__gone").distinct()
+    """docs without the rows whose id is in dropped (one column); rows without an id stay.
+
+    dropped is written first: where it is small, Spark then knows and doesn't shuffle docs.
+    """
+    gone = stage(dropped.toDF("__gone").distinct(), "dropped")
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
