@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, text_of
+from .common import small_batches, stage, table, text_of
 from .packing import vocabulary_path
 from .pretokens import slices, tokenizer, with_pieces
 
@@ -65,6 +65,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: doc_id, n_bytes, n_tokens. path: a .json file whose pre-tokenizer is the public byte-level one."""
     path = path or vocabulary_path()
     spark = docs.sparkSession
+    small_batches(spark)
     counts = piece_counts(docs, text_col, path)
     top = counts.where(F.octet_length("piece") <= HEAVY_BYTES).orderBy(F.desc("n"), "piece").limit(heavy).select("piece", "k").toPandas()  # bounded: heavy rows of HEAVY_BYTES
     known = spark.sparkContext.broadcast(dict(zip(top["piece"].tolist(), top["k"].tolist(), strict=True)))
