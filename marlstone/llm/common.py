@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..staging import importable, shared_folder, stage
 
-__all__ = ["anti", "importable", "may_contain", "shared_folder", "small_batches", "stage", "table", "text_of"]
+__all__ = ["anti", "hashed_sample", "importable", "may_contain", "shared_folder", "small_batches", "stage", "table", "text_of"]
 
 #: A membership filter has FILTER_BITS bits for each key, at most FILTER_MAX_BITS (8 MB in all).
 FILTER_BITS, FILTER_MAX_BITS, BITMAP_BITS = 16, 1 << 26, 32768
@@ -58,3 +58,17 @@ def may_contain(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     byte = F.conv(F.hex(F.substring("__bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
     return probed.where(bit).select(*rows.columns)
+
+
+def hashed_sample(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """The n rows with the smallest hashes of key, or fewer.
+
+    A threshold on the hash lets about 2 * n rows of the table through, so what tasks send
+    to the driver does not grow with their number.
+    """
+    total = rows.count()
+    h = F.xxhash64(key)
+    hashed = rows.withColumn("__h", h)
+    if total > 2 * n:
+        hashed = hashed.where(F.call_function("shiftrightunsigned", "__h", F.lit(33)) < int(2 * n / total * 2**31))
+    return hashed.orderBy("__h").limit(n).drop("__h")

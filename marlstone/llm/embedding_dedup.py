@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable, stage, table
+from .common import hashed_sample, importable, stage, table
 from .components import components
 
 SAMPLE, ROUNDS, COSINE, MAX_BITS = 20_000, 40, 0.93, 22
@@ -164,7 +164,7 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     usable = rows.where("id is not null and label is not null").where(good)
     vectors = stage(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "embedding-classes")
     done = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    taken = vectors.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample).toPandas()  # bounded: sample vectors
+    taken = hashed_sample(vectors.select("v", "rep"), F.col("rep"), sample).toPandas()  # bounded: sample vectors
     if not len(taken):
         return done
     dims = taken["v"].map(len).max()

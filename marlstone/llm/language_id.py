@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, table, text_of
+from .common import hashed_sample, small_batches, stage, table, text_of
 
 SAMPLE, BINS, SMOOTH = 2000, 1 << 16, 0.05
 EFFECTIVE, MIN_POSTERIOR = 60, 0.5
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, sample: int
     if label_col not in docs.columns:
         return TrigramModel([])
     labelled = docs.where(F.col(label_col).isNotNull() & (F.col(label_col) != "") & F.col(text_col).isNotNull())
-    rows = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.lower(label_col).alias("label"), F.col(text_col).alias("text")).orderBy("h", "label", "text").limit(sample)
+    rows = hashed_sample(labelled.select(F.col(id_col).cast("string").alias("id"), F.lower(label_col).alias("label"), F.col(text_col).alias("text")), F.col("id"), sample)
     return TrigramModel([(r["label"], r["text"]) for r in rows.collect()])
 
 
