@@ -61,13 +61,26 @@ def piece_counts(docs: DataFrame, text_col: str, path: str) -> DataFrame:
     return stage(cut.mapInArrow(_counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(count, "piece string, n long, k long"), "piece-counts")
 
 
+def heavy_pieces(counts: DataFrame, heavy: int) -> DataFrame:
+    """piece, k of the most frequent short pre-tokens, heavy of them at most: all above a frequency."""
+    level = F.floor(F.log2("n") * 8)
+    short = counts.where((F.octet_length("piece") <= HEAVY_BYTES) & (F.col("n") > 0)).withColumn("level", level)
+    least, total = None, 0
+    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # eight levels for each doubling
+        total += r["count"]
+        if total > heavy:
+            break
+        least = r["level"]
+    return (short.where(F.col("level") >= least) if least is not None else short.where(F.lit(False))).select("piece", "k")
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, heavy: int = HEAVY) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens. path: a .json file whose pre-tokenizer is the public byte-level one."""
     path = path or vocabulary_path()
     spark = docs.sparkSession
     small_batches(spark)
     counts = piece_counts(docs, text_col, path)
-    top = counts.where(F.octet_length("piece") <= HEAVY_BYTES).orderBy(F.desc("n"), "piece").limit(heavy).select("piece", "k").toPandas()  # bounded: heavy rows of HEAVY_BYTES
+    top = heavy_pieces(counts, heavy).toPandas()  # bounded: heavy rows of HEAVY_BYTES
     known = spark.sparkContext.broadcast(dict(zip(top["piece"].tolist(), top["k"].tolist(), strict=True)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
