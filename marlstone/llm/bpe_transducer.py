@@ -6,7 +6,9 @@ nondeterministic machine holds, for every place where an unfinished token may be
 node of the vocabulary's trie it has reached and the token before that place. A state of
 the determinised machine is the tuple of these items, each with its tokens not yet
 emitted; tokens that all items share are emitted, which happens after a bounded number of
-bytes. States and transitions are made when first met and kept in a table of bounded size.
+bytes. Transitions are made when met again and kept in a table of bounded size; where one is
+missing, the nondeterministic machine takes the piece to its end, so that rare pieces
+don't fill the table.
 
 Decoding maps ids to bytes and follows UTF-8 with a state machine that keeps an unfinished
 character between calls.
@@ -19,17 +21,20 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .packing import vocabulary_path
 from .pretokens import PieceIds, batch_ids, slices, with_pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Transitions, states and pairs kept by a worker; beyond them the table starts anew.
-TABLE = 600_000
+#: Transitions kept by a worker; beyond them the table starts anew.
+TABLE = 150_000
+#: Pieces whose ids a worker keeps, beside the table.
+MEMO = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -63,61 +68,137 @@ class Transducer:
                     node = self.edges[key] = len(self.token_at)
                     self.token_at.append(-1)
             self.token_at[node] = r
-        self.alone = {r for b, r in ranks.items() if len(b) == 1}
+        self.parts: dict[bytes, tuple[bytes, bytes]] = {}
+        self.edge_of: dict[int, list[tuple[bytes, int]]] = {}
         self.reset()
 
     def reset(self) -> None:
         start = ((0, -1, ()),)  # node, token before, tokens not emitted
         self.states, self.number = [start], {start: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.met: set[int] = set()
+        self.pairs: dict[int, bool] = {}
+
+    def split(self, token: bytes) -> tuple[bytes, bytes]:
+        """The two parts that the last merge of a token joins."""
+        got = self.parts.get(token)
+        if got is None:
+            whole = self.ranks[token]
+            parts = [token[i : i + 1] for i in range(len(token))]
+            while len(parts) > 2:
+                rank, i = min((r, i) for i in range(len(parts) - 1) if (r := self.ranks.get(parts[i] + parts[i + 1], whole)) < whole)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            got = self.parts[token] = (parts[0], parts[1])
+        return got
+
+    def edge(self, token: int, right: bool) -> list[tuple[bytes, int]]:
+        """The parts that stand at one end of a token while it is made, each with the rank at which it is joined further."""
+        key = token << 1 | right
+        got = self.edge_of.get(key)
+        if got is None:
+            part, limit, got = self.bytes_of[token], 1 << 60, []
+            while True:
+                got.append((part, limit))
+                if len(part) == 1:
+                    break
+                limit = self.ranks[part]
+                part = self.split(part)[1 if right else 0]
+            self.edge_of[key] = got
+        return got
 
     def follows(self, before: int, token: int) -> bool:
-        """Whether the two stay as they are when joined."""
-        key = (before, token)
+        """Whether the two stay as they are when joined: no merge across their border comes before its parts are joined elsewhere."""
+        if before < 0:
+            return True
+        key = before << 24 | token
         got = self.pairs.get(key)
         if got is None:
-            b = self.bytes_of
-            got = self.pairs[key] = merge(b[token], self.ranks) == [token] if before < 0 else merge(b[before] + b[token], self.ranks) == [before, token]
+            got = self.pairs[key] = self._apart(before, token)
         return got
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _apart(self, before: int, token: int) -> bool:
+        rank_of = self.ranks.get
+        rights = self.edge(token, False)
+        for left, left_limit in self.edge(before, True):
+            for right, right_limit in rights:
+                rank = rank_of(left + right)
+                # Of equal ranks the leftmost goes first.
+                if rank is not None and rank < left_limit and rank <= right_limit:
+                    return False
+        return True
+
+    def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The next state and what is emitted on the way to it."""
         items, last = [], None
-        for node, before, chain in self.states[state]:
-            to = self.edges.get(node << 8 | byte)
+        edges, token_at = self.edges, self.token_at
+        for node, before, chain in state:
+            to = edges.get(node << 8 | byte)
             if to is None:
                 continue
             items.append((to, before, chain))
-            token = self.token_at[to]
-            if last is None and token >= 0 and self.follows(before, token):
-                last = (token, (*chain, token))
+            if last is None:
+                token = token_at[to]
+                if token >= 0 and self.follows(before, token):
+                    last = (0, token, (*chain, token))
         if last is None:
             raise ValueError("a byte is missing from the vocabulary")
-        items.append((0, *last))
+        items.append(last)
+        first = items[0][2]
         shared = 0
-        chains = [c for _, _, c in items]
-        while all(len(c) > shared for c in chains) and len({c[shared] for c in chains}) == 1:
+        while shared < len(first) and all(len(c) > shared and c[shared] == first[shared] for _, _, c in items):
             shared += 1
-        out = chains[0][:shared]
-        key = tuple((n, b, c[shared:]) for n, b, c in items)
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-        self.steps[state << 8 | byte] = found = (to, out)
-        return found
+        if not shared:
+            return tuple(items), ()
+        return tuple((n, b, c[shared:]) for n, b, c in items), first[:shared]
+
+    def finish(self, state: tuple, rest: bytes) -> list[int]:
+        """What is emitted from a state on to the end of a piece, by the nondeterministic machine: nothing is kept for later."""
+        edge, token_at, follows = self.edges.get, self.token_at, self.follows
+        live = [(node, before, (chain, None)) for node, before, chain in state]
+        for x in rest:
+            items, last = [], None
+            for node, before, path in live:
+                to = edge(node << 8 | x)
+                if to is not None:
+                    items.append((to, before, path))
+                    if last is None:
+                        token = token_at[to]
+                        if token >= 0 and follows(before, token):
+                            last = (0, token, ((token,), path))
+            if last is None:
+                raise ValueError("a byte is missing from the vocabulary")
+            items.append(last)
+            live = items
+        path, parts = live[-1][2], []
+        while path is not None:
+            parts.append(path[0])
+            path = path[1]
+        return [t for part in reversed(parts) for t in part]
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.steps) > self.most or len(self.pairs) > self.most:
+        if len(self.steps) > self.most or len(self.met) > 4 * self.most:
             self.reset()
-        state, ids, steps = 0, [], self.steps
-        for x in piece:
-            got = steps.get(state << 8 | x)
-            state, out = got if got is not None else self.step(state, x)
+        if len(self.pairs) > 2 * self.most:
+            self.pairs.clear()
+        steps, states = self.steps, self.states
+        state, ids = 0, []
+        for i, x in enumerate(piece):
+            key = state << 8 | x
+            got = steps.get(key)
+            if got is None:
+                if key not in self.met:  # a transition enters the table when it is met again
+                    self.met.add(key)
+                    return ids + self.finish(states[state], piece[i:])
+                to, out = self.step(states[state], x)
+                number = self.number.get(to)
+                if number is None:
+                    number = self.number[to] = len(states)
+                    states.append(to)
+                got = steps[key] = (number, out)
+            state, out = got
             if out:
                 ids += out
-        ids += self.states[state][-1][2]  # what the item that ends here has not emitted
-        return ids
+        return ids + list(states[state][-1][2])  # what the item that ends here has not emitted
 
 
 class Utf8Decoder:
@@ -151,6 +232,7 @@ class Utf8Decoder:
 
 
 _HELD: dict[str, Transducer] = {}
+_BYTES: dict[str, list[bytes]] = {}
 
 
 def transducer(path: str) -> Transducer:
@@ -159,9 +241,20 @@ def transducer(path: str) -> Transducer:
     return _HELD[path]
 
 
+def token_bytes(path: str) -> list[bytes]:
+    if path not in _BYTES:
+        ranks = load_ranks(path)
+        table_ = [b""] * (max(ranks.values()) + 1)
+        for b, r in ranks.items():
+            table_[r] = b
+        _BYTES[path] = table_
+    return _BYTES[path]
+
+
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """docs' columns but the text's, and ids: array<int>."""
     path = path or vocabulary_path(VOCABULARY)
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col]
     named = [f"c{i}" for i in range(len(keep))]
     cut = with_pieces(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, named, strict=True)], F.col(text_col).alias("text")), "text").select(*named, "__pieces", "__whole")
@@ -172,7 +265,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
         t = transducer(path)
         split = regex.compile(public_tokenizers.PATTERN)
-        ids = PieceIds(lambda pieces: [[x for p in split.findall(q) for x in t.encode(p.encode())] for q in pieces])
+        ids = PieceIds(lambda pieces: [[x for p in split.findall(q) for x in t.encode(p.encode())] for q in pieces], MEMO)
         for b in slices(batches):
             tokens, bounds = batch_ids(b.column("__pieces"), b.column("__whole"), ids)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))
@@ -185,16 +278,17 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """docs' columns, decoded (binary, the bytes as they are) and decoded_text (faulty sequences as U+FFFD)."""
     path = path or vocabulary_path(VOCABULARY)
+    small_batches(docs.sparkSession)
     keep = docs.columns
     named = [f"c{i}" for i in range(len(keep))]
     at = named[keep.index(ids_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = transducer(path).bytes_of
+        of = token_bytes(path)
         for b in slices(batches):
             raw, texts = [], []
             lists = b.column(at)
-            offsets, flat = lists.offsets.to_pylist(), list(map(of.__getitem__, lists.flatten().to_pylist()))
+            offsets, flat = np.asarray(lists.offsets).tolist(), list(map(of.__getitem__, np.asarray(lists.flatten()).tolist()))
             base = offsets[0]
             for i in range(b.num_rows):
                 data, stream = b"".join(flat[offsets[i] - base : offsets[i + 1] - base]), Utf8Decoder()
