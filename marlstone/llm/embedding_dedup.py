@@ -1,13 +1,17 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
-A rotation is learned on at most SAMPLE vectors: principal axes, then alternating signs
-and the orthogonal matrix that brings the vectors nearest to them. Signs of the rotated,
-centred vector are its code. Codes are cut into substrings; two vectors are candidates
-when a substring differs in one bit at most, so all pairs within 2 * tables - 1 bits are
-found for certain and most others beyond. The substrings get longer with the number of
-rows, which keeps buckets small. A pair is compared where its first such substring is, and
-only if the whole codes differ in MAX_BITS at most; candidates are reranked by the cosine
-of the original vectors in double precision.
+Rotations are learned on at most SAMPLE vectors: principal axes, then alternating signs and
+the orthogonal matrix that brings the vectors nearest to them, from several random starts.
+Signs of the rotated, centred vector are its code. Substrings of the code are keys of
+tables; two vectors of a label are candidates when they meet in a table and the first
+FILTER bits of their codes don't differ in more than pairs at the least cosine do.
+
+Width and number of the tables follow from the least cosine and the label's rows: a longer
+substring keeps buckets small, and then so many more tables are kept, from as many
+rotations as they need, that pairs at the least cosine meet with a probability of RECALL
+whatever the size. This is measured on partners made for vectors of the sample. Labels of
+some ten thousand rows and less have one table of one bucket: all their pairs are compared.
+Candidates are reranked by the cosine of the original vectors in double precision.
 
 Vectors equal in all components and label form a class and one of them goes on; its number
 counts in the links. Null, zero or not finite vectors, and null labels, link with nothing.
@@ -27,7 +31,13 @@ from pyspark.sql import functions as F
 from .common import hashed_sample, importable, stage, table
 from .components import components
 
-SAMPLE, ROUNDS, COSINE, MAX_BITS = 20_000, 40, 0.93, 22
+SAMPLE, ROUNDS, COSINE = 20_000, 40, 0.93
+#: Share of the pairs at the least cosine that meet in a table, and bits of a code that are compared.
+RECALL, FILTER = 0.99, 128
+#: Synthetic partners that the share is measured on, and what a row in a table costs, in compared pairs.
+PARTNERS, ROW = 2000, 3000
+#: Labels of half as many rows or fewer always have one bucket.
+SMALL = 1 << 14
 #: Rows of one bucket that are compared at once; larger buckets are compared in blocks.
 BLOCK = 1024
 
@@ -37,111 +47,141 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Quantiser:
-    """Mean and rotation of iterative quantisation."""
+    """Mean and rotations of iterative quantisation: as many as bits are asked for, each from its own random start."""
 
     def __init__(self, x: np.ndarray, rounds: int = ROUNDS, seed: int = 7):
         self.mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+        self.rounds, self.seed, self.rotations = rounds, seed, []
         v = x - self.mean
         d = x.shape[1]
         _, axes = np.linalg.eigh(v.T @ v + 1e-9 * np.eye(d))
-        axes = axes[:, ::-1]
-        r, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, d)))
-        p = v @ axes
-        for _ in range(rounds if len(x) > d else 0):
-            u, _, w = np.linalg.svd(np.where(p @ r >= 0, 1.0, -1.0).T @ p)
-            r = (u @ w).T
-        self.rotation = axes @ r
-
-    def bits(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) @ self.rotation >= 0
-
-
-def plan_tables(rows: int, bits: int) -> list[tuple[int, int]]:
-    """(from, to) of the substrings: about log2(rows) bits each, 8 at least and 24 at most."""
-    width = min(24, max(8, math.ceil(math.log2(max(2, rows)) - 2)))
-    n = max(1, bits // width)
-    edges = [round(i * bits / n) for i in range(n + 1)]
-    return list(zip(edges[:-1], edges[1:], strict=True))
+        self.axes = axes[:, ::-1]
+        self.fitted = v @ self.axes
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"fitted": self.fitted[:0]}  # the rotations go to tasks, not the sample
+
+    def extend(self, bits: int) -> None:
+        p, d = self.fitted, len(self.mean)
+        while len(self.rotations) * d < bits:
+            r, _ = np.linalg.qr(np.random.default_rng(self.seed + len(self.rotations)).normal(size=(d, d)))
+            for _ in range(self.rounds if len(p) > d else 0):
+                u, _, w = np.linalg.svd(np.where(p @ r >= 0, 1.0, -1.0).T @ p)
+                r = (u @ w).T
+            self.rotations.append(self.axes @ r)
+
+    def bits(self, x: np.ndarray, n: int) -> np.ndarray:
+        self.extend(n)
+        v = x - self.mean
+        return np.concatenate([np.zeros((len(x), 0), bool), *[v @ r >= 0 for r in self.rotations[: -(-n // len(self.mean))]]], axis=1)[:, :n]
+
+
+def partners(x: np.ndarray, least: float, n: int = PARTNERS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """n pairs of unit vectors at cosine least: rows of x, moved one half anyhow, the other along differences of rows."""
+    r = np.random.default_rng(seed)
+    a = x[r.integers(len(x), size=n)]
+    away = r.normal(size=a.shape)
+    away[::2] = (x[r.integers(len(x), size=n)] - x[r.integers(len(x), size=n)])[::2]
+    away -= np.einsum("ij,ij->i", away, a)[:, None] * a
+    size = np.linalg.norm(away, axis=1)
+    some = size > 1e-6
+    a, away = a[some], away[some] / size[some, None]
+    return a, least * a + math.sqrt(max(0.0, 1 - least * least)) * away
+
+
+def _tables_for(width: int, flip: float, recall: float) -> float:
+    """How many tables of independent bits it takes, if a bit differs with a probability of flip."""
+    meet = (1 - flip) ** width
+    return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log1p(-meet)) if meet > 1e-12 else math.inf
+
+
+def plan_tables(rows: int, q: Quantiser, x: np.ndarray, least: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
+    """Width and number of the tables for a label of rows vectors: the cheapest that hold the recall, by bits' theory and on partners of x."""
+    flip = math.acos(max(-1.0, min(1.0, least))) / math.pi
+    cost = {k: _tables_for(k, flip, recall) * (ROW + rows / 2 ** (k + 1)) for k in range(33)}
+    a, b = partners(x, least) if len(x) else (x, x)
+    for k in range(min(cost, key=cost.get), 0, -1):
+        n = int(_tables_for(k, flip, recall))
+        most = 2 * n
+        met = (q.bits(a, k * most) == q.bits(b, k * most)).reshape(len(a), most, k).all(axis=2)
+        shares = np.logical_or.accumulate(met, axis=1).mean(axis=0) if len(a) else np.ones(most)
+        enough = np.flatnonzero(shares >= recall)
+        if len(enough):
+            return k, max(n, int(enough[0]) + 1)
+    return 0, 1
+
+
+def most_bits(q: Quantiser, x: np.ndarray, least: float = COSINE) -> int:
+    """Bits of FILTER in which a pair at cosine least may differ: five deviations above the mean, by theory and on partners of x."""
+    flip = math.acos(max(-1.0, min(1.0, least))) / math.pi
+    most = FILTER * flip + 5 * math.sqrt(FILTER * flip * (1 - flip))
+    if len(x):
+        a, b = partners(x, least)
+        if len(a):
+            n = (q.bits(a, FILTER) != q.bits(b, FILTER)).sum(axis=1)
+            most = max(most, n.mean() + 5 * n.std())
+    return min(FILTER, math.ceil(most))
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:
     return [(i, min(n, i + BLOCK)) for i in range(0, n, BLOCK)]
 
 
-def candidate_pairs(codes: DataFrame, spans: list[tuple[int, int]], kind: str, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): pairs of one label that meet in a table, each once. codes: rep, label, code (array of 0 and 1 as text)."""
-
-    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            bits = np.stack([np.frombuffer(c, np.uint8) for c in f["bits"]])
-            for t, (lo, hi) in enumerate(spans):
-                weights = 1 << np.arange(hi - lo, dtype=np.int64)
-                own = bits[:, lo:hi].astype(np.int64) @ weights
-                yield pd.DataFrame({"label": f["label"], "t": t, "key": own, "probe": False, "rep": f["rep"], "bits": f["bits"]})
-                for k in range(hi - lo):  # of two that differ in one bit, the one with 0 goes to the other's bucket
-                    zero = bits[:, lo + k] == 0
-                    if zero.any():
-                        yield pd.DataFrame({"label": f["label"][zero], "t": t, "key": own[zero] | (1 << k), "probe": True, "rep": f["rep"][zero], "bits": f["bits"][zero]})
-
-    def compare(reps, bits, probe, t: int) -> Iterator[pd.DataFrame]:
-        own = np.flatnonzero(~probe)
-        for lo, hi in _blocks(len(own)):
-            x = own[lo:hi]
-            others = np.concatenate([own[lo:], np.flatnonzero(probe)])
-            for u, v in _blocks(len(others)):
-                y = others[u:v]
-                differs = bits[x][:, None, :] != bits[y][None, :, :]
-                ok = differs.sum(axis=2) <= max_bits
-                for lo_t, hi_t in spans[:t]:  # met in an earlier table
-                    ok &= differs[:, :, lo_t:hi_t].sum(axis=2) > 1
-                i, j = np.nonzero(ok)
-                if u < hi - lo:  # the block itself: each pair once
-                    keep = j + u > i
-                    i, j = i[keep], j[keep]
-                if len(i):
-                    a, b = reps[x[i]], reps[y[j]]
+def candidate_pairs(codes: DataFrame, kind: str, max_bits: int) -> DataFrame:
+    """(a, b): pairs that meet in a table, each once. codes: key (of label, table and substring), rep, c0, c1 (FILTER bits)."""
+
+    def compare(reps: np.ndarray, codes: np.ndarray) -> Iterator[pd.DataFrame]:
+        for lo, hi in _blocks(len(reps)):
+            x = codes[lo:hi]
+            for u, v in _blocks(len(reps) - lo):
+                y = codes[lo + u : lo + v]
+                differs = np.bitwise_count(x[:, 0, None] ^ y[None, :, 0]) + np.bitwise_count(x[:, 1, None] ^ y[None, :, 1])
+                i, j = np.nonzero(differs <= max_bits)
+                if u == 0:  # the block itself: each pair once
+                    i, j = i[j > i], j[j > i]
+                a, b = reps[lo + i], reps[lo + u + j]
+                other = a != b
+                if other.any():
+                    a, b = a[other], b[other]
                     yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held: list[pd.DataFrame] = []  # rows of the last key, which may go on
         for f in frames:
-            f = f if held is None else pd.concat([held, f], ignore_index=True)
             if not len(f):
                 continue
-            k = f[["label", "t", "key"]].to_numpy()
-            edge = np.flatnonzero(np.any(k[1:] != k[:-1], axis=1)) + 1
-            starts = np.concatenate([[0], edge, [len(f)]])
-            held = f.iloc[starts[-2] :]
-            yield from groups(f, starts[:-1])
-        if held is not None:
-            yield from groups(held.reset_index(drop=True), np.array([0, len(held)]))
+            k = f["key"].to_numpy()
+            if held and held[-1]["key"].iat[-1] == k[0] == k[-1]:
+                held.append(f)
+                continue
+            f = pd.concat([*held, f], ignore_index=True)
+            k = f["key"].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+            held = [f.iloc[starts[-1] :]]
+            yield from groups(f, starts)
+        if held:
+            f = pd.concat(held, ignore_index=True)
+            yield from groups(f, np.array([0, len(f)]))
 
     def groups(f: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
-        if len(starts) < 2:
-            return
-        reps, probe, t = f["rep"].to_numpy(), f["probe"].to_numpy().astype(bool), f["t"].to_numpy()
-        raw = f["bits"].to_numpy()
-        owners = np.add.reduceat((~probe).astype(np.int64), starts[:-1]) if len(f) else []
-        out = []
-        for lo, hi, n in zip(starts[:-1], starts[1:], owners, strict=True):
-            if hi - lo > 1 and n:
-                bits = np.stack([np.frombuffer(c, np.uint8) for c in raw[lo:hi]])
-                out += compare(reps[lo:hi], bits, probe[lo:hi], int(t[lo]))
-                if sum(map(len, out)) > 100_000:
-                    yield pd.concat(out)
-                    out = []
+        reps, codes = f["rep"].to_numpy(), f[["c0", "c1"]].to_numpy().view(np.uint64)
+        out, n = [], 0
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            if hi - lo > 1:
+                for pairs in compare(reps[lo:hi], codes[lo:hi]):
+                    out.append(pairs)
+                    n += len(pairs)
+                    if n > 100_000:
+                        yield pd.concat(out)
+                        out, n = [], 0
         if out:
             yield pd.concat(out)
 
-    rows = codes.mapInPandas(keys, f"label string, t int, key long, probe boolean, rep {kind}, bits binary")
-    dealt = rows.repartition("label", "t", "key").sortWithinPartitions("label", "t", "key")
-    return dealt.mapInPandas(meet, f"a {kind}, b {kind}")
+    return codes.repartition("key").sortWithinPartitions("key").mapInPandas(meet, f"a {kind}, b {kind}").distinct()
 
 
 def rerank(pairs: DataFrame, vectors: DataFrame, kind: str, least: float) -> DataFrame:
-    """The pairs whose cosine is at least least."""
+    """The pairs of one label whose cosine is at least least."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -150,9 +190,9 @@ def rerank(pairs: DataFrame, vectors: DataFrame, kind: str, least: float) -> Dat
                 cos = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
                 yield f.loc[cos >= least, ["a", "b"]]
 
-    one = vectors.select(F.col("rep").alias("a"), F.col("v").alias("va"))
-    two = vectors.select(F.col("rep").alias("b"), F.col("v").alias("vb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInPandas(run, f"a {kind}, b {kind}")
+    one = vectors.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("label").alias("la"))
+    two = vectors.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("label").alias("lb"))
+    return pairs.join(one, "a").join(two, "b").where("la = lb").select("a", "b", "va", "vb").mapInPandas(run, f"a {kind}, b {kind}")
 
 
 def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = COSINE, sample: int = SAMPLE) -> DataFrame:
@@ -169,20 +209,35 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         return done
     dims = taken["v"].map(len).max()
     fitted = np.stack([x for x in taken["v"] if len(x) == dims])
-    q = Quantiser(unit(fitted))
-    held = rows.sparkSession.sparkContext.broadcast(q)  # dims x dims
-    total = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).collect()[0][0]
-    spans = plan_tables(total, int(dims))
+    fitted = unit(fitted)
+    q = Quantiser(fitted)
+    q.extend(FILTER)
+    counts = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    largest = counts.agg(F.max("c")).collect()[0][0]
+    one = SMALL
+    while one < largest and plan_tables(one, q, fitted, least) == (0, 1):
+        one *= 2
+    sizes = {r["label"]: math.ceil(math.log2(r["c"])) for r in counts.where(F.col("c") > one // 2).collect()}  # 2 * rows / SMALL labels at most
+    by_size = {n: plan_tables(1 << n, q, fitted, least) for n in set(sizes.values())}
+    plans = {label: by_size[n] for label, n in sizes.items() if by_size[n] != (0, 1)}
+    q.extend(max([k * n for k, n in by_size.values()], default=0))
+    held = rows.sparkSession.sparkContext.broadcast((q, plans))  # rotations, and plans of large labels
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, plans = held.value
         for f in frames:
             f = f[f["v"].map(len) == dims]
-            if len(f):
-                bits = held.value.bits(unit(np.stack(f["v"].to_numpy()).astype(np.float64))).astype(np.uint8)
-                yield pd.DataFrame({"rep": f["rep"], "label": f["label"], "bits": [b.tobytes() for b in bits]})
-
-    codes = vectors.select("rep", "label", "v").mapInPandas(code, f"rep {kind}, label string, bits binary")
-    links = stage(rerank(candidate_pairs(codes, spans, kind), vectors, kind, least), "embedding-links")
+            plan = f["label"].map(lambda x: plans.get(x, (0, 1)))
+            for (k, n), g in f.groupby(plan):
+                bits = q.bits(unit(np.stack(g["v"].to_numpy()).astype(np.float64)), max(FILTER, k * n))
+                c = np.packbits(bits[:, :FILTER], axis=1).view(np.int64)
+                weights = 1 << np.arange(k, dtype=np.int64)
+                for t in range(n):
+                    yield pd.DataFrame({"label": g["label"].to_numpy(), "t": t, "s": bits[:, t * k : (t + 1) * k].astype(np.int64) @ weights, "rep": g["rep"].to_numpy(), "c0": c[:, 0], "c1": c[:, 1]})
+
+    codes = vectors.select("rep", "label", "v").mapInPandas(code, f"label string, t int, s long, rep {kind}, c0 long, c1 long")
+    codes = codes.select(F.xxhash64("label", "t", "s").alias("key"), "rep", "c0", "c1")
+    links = stage(rerank(candidate_pairs(codes, kind, most_bits(q, fitted, least)), vectors, kind, least), "embedding-links")
     number = vectors.select("rep", F.col("n").alias("other"))
     each = links.select(F.col("a").alias("rep"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("to")))
     counts = each.join(number.withColumnRenamed("rep", "to"), "to").groupBy("rep").agg(F.sum("other").alias("linked"))

@@ -252,6 +252,33 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_dedup(d.limit(0)).count() == 0
 
 
+def test_embedding_tables_hold_recall_at_every_size():
+    """Held out: other partners than those that the number of tables was chosen on."""
+    r = np.random.default_rng(8)
+    x = embedding_dedup.unit(r.normal(size=(3000, 64)) * np.linspace(2, 0.5, 64) + 0.3)
+    q = embedding_dedup.Quantiser(x)
+    for size in (14, 17, 20, 23, 27):  # log2 of a label's rows
+        k, n = embedding_dedup.plan_tables(1 << size, q, x)
+        a, b = embedding_dedup.partners(x, 0.93, 4000, seed=99)
+        met = (q.bits(a, k * n) == q.bits(b, k * n)).reshape(len(a), n, k).all(axis=2).any(axis=1)
+        assert met.mean() >= 0.98 and 2 ** (size - k) <= 1 << 15
+
+
+def test_embedding_dedup_by_tables(spark, monkeypatch):
+    """Each label has tables of its own width; pairs just above the threshold are found by them."""
+    monkeypatch.setattr(embedding_dedup, "ROW", 1)
+    monkeypatch.setattr(embedding_dedup, "SMALL", 16)
+    r = np.random.default_rng(9)
+    x = embedding_dedup.unit(r.normal(size=(900, 64)))
+    a, b = embedding_dedup.partners(x, 0.932, 900)
+    data = [(2 * i + j, v.tolist(), min(i // 20, 1)) for i, pair in enumerate(zip(a, b, strict=True)) for j, v in enumerate(pair)]
+    q = embedding_dedup.Quantiser(x)
+    assert embedding_dedup.plan_tables(2048, q, x)[0] > embedding_dedup.plan_tables(64, q, x)[0]
+    found = by_id(embedding_dedup.embedding_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect())
+    linked = [found[2 * i].component_id == found[2 * i + 1].component_id for i in range(len(a))]
+    assert len(found) == len(data) and np.mean(linked) >= 0.98
+
+
 def shingles(t, width):
     w = text(t).encode().lower().split()
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
