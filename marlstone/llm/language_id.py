@@ -2,15 +2,20 @@
 
 Four kinds of evidence are multiplied: the text's likelihood under a model of letter
 trigrams for each language, the declared markup language, the address suffix, and a prior
-of the host. The trigram model is fitted on at most SAMPLE labelled rows, those with the
-smallest hashes of their ids. All other statistics come from grouped aggregation over the
+of the host. The trigram model is fitted on about SAMPLE labelled rows at most, as many of
+each language where there are enough, those with the smallest hashes of their ids. All other statistics come from grouped aggregation over the
 whole table: a document counts with its posterior under text and declaration for each
 language; a host's prior is smoothed towards that of its address suffix, this towards the
 whole table's; how often a declaration stands with a language gives its likelihood.
 
 A text's log likelihood is taken as that of EFFECTIVE trigrams at most, as trigrams of a
-text depend on each other. A document is rejected when it holds no letters, or when no
-language reaches MIN_POSTERIOR. Nulls: a null text is empty, null declarations and hosts
+text depend on each other. Text in a language outside the fit is a class of its own,
+"und". Its odds are those of a level of likelihood a trigram to the likelihood under all
+languages mixed, so that text in several of them is not unknown. The level lies halfway
+between what the mixture gives to low ones of a language's texts, held out of the fit, and
+to texts of a language that is left out of the mixture.
+A document is rejected when it holds no letters, or when no language reaches MIN_POSTERIOR
+beside the others and "und". Nulls: a null text is empty, null declarations and hosts
 are no evidence. Rows are judged one by one, repeated ones alike; ties go to the language
 that comes first in alphabetical order. Without labelled rows there is nothing to tell
 languages by: all is "und" with a posterior of 0, and what holds letters is kept.
@@ -23,13 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, small_batches, stage, table, text_of
+from .common import small_batches, stage, table, text_of
 
 SAMPLE, BINS, SMOOTH = 2000, 1 << 16, 0.05
 EFFECTIVE, MIN_POSTERIOR = 60, 0.5
+#: The prior of text in no language of the fit, and the share of a language's own texts that counts as low.
+UNKNOWN, LOW = 0.01, 0.01
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 50.0
 
 
@@ -58,25 +65,69 @@ class TrigramModel:
     def __init__(self, rows: list[tuple[str, str]]):
         """rows: language, text."""
         self.languages = sorted({lang for lang, _ in rows})
-        counts = np.full((len(self.languages), BINS), SMOOTH)
-        for lang, text in rows:
-            np.add.at(counts[self.languages.index(lang)], trigram_bins(text)[0], 1)
-        self.log = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32) if rows else counts
+        owner = np.array([self.languages.index(lang) for lang, _ in rows], int)
+        bins = [trigram_bins(text)[0] for _, text in rows]
+        turn: dict[int, int] = {}
+        halves = np.full((2, len(self.languages), BINS), 0.0)  # every other text of a language
+        for i, x in zip(owner.tolist(), bins, strict=True):
+            np.add.at(halves[turn.get(i, 0) % 2, i], x, 1)
+            turn[i] = turn.get(i, 0) + 1
+        self.log = self._logs(halves.sum(axis=0))
+        self.mixed = self._mixed(self.log) if rows else np.zeros(BINS)
+        self.level = self._levels(owner, bins, halves)
+
+    @staticmethod
+    def _logs(counts: np.ndarray) -> np.ndarray:
+        counts = counts + SMOOTH
+        return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    @staticmethod
+    def _mixed(logs: np.ndarray) -> np.ndarray:
+        return np.logaddexp.reduce(logs.astype(float), axis=0) - math.log(max(1, len(logs)))
+
+    def _levels(self, owner: np.ndarray, bins: list[np.ndarray], halves: np.ndarray) -> np.ndarray:
+        """For each language, the log likelihood a trigram below which texts that are likeliest in it are rather unknown."""
+        n = len(self.languages)
+        own: list[list[float]] = [[] for _ in range(n)]
+        other: list[list[float]] = [[] for _ in range(n)]
+        for half in (0, 1):  # its texts under the model of the other half
+            fitted = np.flatnonzero(halves[1 - half].sum(axis=1))
+            logs = self._logs(halves[1 - half])
+            whole = self._mixed(logs[fitted])
+            for i in fitted.tolist():
+                rest = fitted[fitted != i]
+                without = self._mixed(logs[rest]) if len(rest) else np.full(BINS, -math.log(BINS))
+                for x in [bins[r] for r in np.flatnonzero(owner == i)[half::2]]:
+                    if len(x):
+                        own[i].append(whole[x].mean())
+                        other[i].append(without[x].mean())
+        nearest = max((np.median(x) for x in other if x), default=-math.log(BINS))
+        low = [np.quantile(x, LOW) if x else -math.log(BINS) for x in own]
+        return np.array([min(x, (x + nearest) / 2) for x in low])
 
     def score(self, text: str) -> tuple[list[float], int]:
-        """Log likelihoods in the order of languages, and the number of letters."""
+        """Log likelihoods in the order of languages and then of unknown text, and the number of letters."""
         bins, letters = trigram_bins(text)
         if not letters:
-            return [0.0] * len(self.languages), 0
-        return (self.log[:, bins].mean(axis=1).astype(float) * min(len(bins), EFFECTIVE)).tolist(), letters
+            return [0.0] * (len(self.languages) + 1), 0
+        each = self.log[:, bins].mean(axis=1).astype(float)
+        unknown = each.max() + self.level[each.argmax()] - self.mixed[bins].mean()
+        return (np.append(each, unknown) * min(len(bins), EFFECTIVE)).tolist(), letters
 
 
 def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, sample: int = SAMPLE) -> TrigramModel:
     if label_col not in docs.columns:
         return TrigramModel([])
     labelled = docs.where(F.col(label_col).isNotNull() & (F.col(label_col) != "") & F.col(text_col).isNotNull())
-    rows = hashed_sample(labelled.select(F.col(id_col).cast("string").alias("id"), F.lower(label_col).alias("label"), F.col(text_col).alias("text")), F.col("id"), sample)
-    return TrigramModel([(r["label"], r["text"]) for r in rows.collect()])
+    labelled = labelled.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.lower(label_col).alias("label"), F.col(text_col).alias("text"))
+    counts = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
+    n = max(1, counts.count())
+    share = -(-sample // n)
+    # A threshold on the hash lets about 2 * share rows of a language through before they are put in order.
+    let = F.call_function("shiftrightunsigned", "h", F.lit(33)) < F.lit(2.0 * share + 20) / F.col("c") * 2.0**31
+    first = Window.partitionBy("label").orderBy("h")
+    rows = labelled.join(F.broadcast(counts), "label").where(let).withColumn("k", F.row_number().over(first)).where(F.col("k") <= share)
+    return TrigramModel([(r["label"], r["text"]) for r in rows.orderBy("label", "k").collect()])
 
 
 def suffix_of(host: Column) -> Column:
@@ -85,7 +136,7 @@ def suffix_of(host: Column) -> Column:
 
 
 def text_evidence(docs: DataFrame, model: TrigramModel, id_col: str, text_col: str, declared: Column, host: Column, suffix: Column) -> DataFrame:
-    """id, declared, host, suffix, ll (log likelihoods), letters: written once, then used by every count."""
+    """id, declared, host, suffix, ll (log likelihoods, the last of unknown text), letters: written once, then used by every count."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x BINS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,18 +176,20 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     rows = text_evidence(docs, model, id_col, text_col, declared, host, suffix)
 
     # A document's weight for each language in the counts: its posterior under the text, without letters the declaration.
-    soft = [F.when(F.col("letters") > 0, p).otherwise(F.coalesce((F.col("declared") == lang).cast("double"), F.lit(1.0 / n))) for lang, p in zip(langs, _posterior([F.col("ll")[i] for i in range(n)]), strict=True)]
+    under = _posterior([*[F.col("ll")[i] for i in range(n)], F.col("ll")[n] + math.log(UNKNOWN)])
+    soft = [F.when(F.col("letters") > 0, p).otherwise(F.coalesce((F.col("declared") == lang).cast("double"), F.lit(1.0 / n))) for lang, p in zip(langs, under[:n], strict=True)]
+    soft.append(F.when(F.col("letters") > 0, under[n]).otherwise(0.0))
     weighed = rows.select("declared", "host", "suffix", *[s.alias(f"w{i}") for i, s in enumerate(soft)])
     sums = [F.sum(f"w{i}").alias(f"s{i}") for i in range(n)]
     known = F.when(F.col("declared").isin(langs), F.col("declared")).otherwise("other")
-    table_ = weighed.where("declared is not null").groupBy(known.alias("d")).agg(*sums).collect()  # languages and "other": n + 1 rows at most
-    seen = {r["d"]: [r[f"s{i}"] for i in range(n)] for r in table_}
-    totals = [sum(v[i] for v in seen.values()) for i in range(n)]
+    table_ = weighed.where("declared is not null").groupBy(known.alias("d")).agg(*sums, F.sum(f"w{n}").alias(f"s{n}")).collect()  # languages and "other": n + 1 rows at most
+    seen = {r["d"]: [r[f"s{i}"] for i in range(n + 1)] for r in table_}
+    totals = [sum(v[i] for v in seen.values()) for i in range(n + 1)]
     whole = weighed.agg(*sums).collect()[0]
     everything = sum((whole[f"s{i}"] or 0.0) for i in range(n))
     world = [F.lit(((whole[f"s{i}"] or 0.0) + 1.0) / (everything + n)) for i in range(n)]
     kinds = [*langs, "other"]
-    declared_log = {d: [math.log((seen.get(d, [0.0] * n)[i] + 0.5) / (totals[i] + 0.5 * len(kinds))) for i in range(n)] for d in kinds}
+    declared_log = {d: [math.log((seen.get(d, [0.0] * (n + 1))[i] + 0.5) / (totals[i] + 0.5 * len(kinds))) for i in range(n + 1)] for d in kinds}
 
     by_suffix = stage(_shares(weighed.where("suffix is not null").groupBy("suffix").agg(*sums), n, "suffix", world, SUFFIX_WEIGHT), "language-suffix")
     hosts = weighed.where("host is not null").groupBy("host").agg(F.min("suffix").alias("suffix"), *sums).join(by_suffix, "suffix", "left")
@@ -144,15 +197,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 
     fused = rows.join(by_host, "host", "left").join(by_suffix, "suffix", "left")
     logs = []
-    for i in range(n):
-        prior = F.coalesce(f"p_host{i}", f"p_suffix{i}", world[i])
+    for i in range(n + 1):
+        prior = F.coalesce(f"p_host{i}", f"p_suffix{i}", world[i]) * (1 - UNKNOWN) if i < n else F.lit(UNKNOWN)
         said = F.coalesce(*[F.when(known == d, F.lit(declared_log[d][i])) for d in kinds])
         logs.append(F.col("ll")[i] + F.log(prior) + F.when(F.col("declared").isNull(), 0.0).otherwise(said))
     post = fused.select("id", "letters", *[p.alias(f"q{i}") for i, p in enumerate(_posterior(logs))])
     best = F.greatest(*[f"q{i}" for i in range(n)]) if n > 1 else F.col("q0")
-    name = F.coalesce(*[F.when(F.col(f"q{i}") == best, lang) for i, lang in enumerate(langs)])
+    unknown = (F.col("letters") > 0) & (F.col(f"q{n}") > best)
+    name = F.when(unknown, "und").otherwise(F.coalesce(*[F.when(F.col(f"q{i}") == best, lang) for i, lang in enumerate(langs)]))
     kept = (F.col("letters") > 0) & (best >= MIN_POSTERIOR)
-    return post.select(F.col("id").alias(id_col), F.when(F.col("letters") > 0, name).otherwise("und").alias("language"), best.alias("posterior"), "letters", kept.alias("kept"))
+    sure = F.when(unknown, F.col(f"q{n}")).otherwise(best)
+    return post.select(F.col("id").alias(id_col), F.when(F.col("letters") > 0, name).otherwise("und").alias("language"), sure.alias("posterior"), "letters", kept.alias("kept"))
 
 
 def identify_pages(pages: DataFrame, model: TrigramModel) -> DataFrame:
@@ -160,6 +215,7 @@ def identify_pages(pages: DataFrame, model: TrigramModel) -> DataFrame:
     lang = F.regexp_extract("html", r"(?i)<html[^>]*\slang=[\"']?([A-Za-z]+)", 1)
     host = F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1))
     text = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
+    text = F.regexp_replace(text, r"&(#?\w+);", " ")  # names of characters are in no language
     rows = pages.select("page_id", text.alias("text"), F.when(lang != "", lang).alias("declared"), F.when(host != "", host).alias("host"))
     return identify(rows, "page_id", "text", F.col("declared"), F.col("host"), model=model)
 

@@ -201,6 +201,25 @@ def test_language_id_held_out(spark):
     assert right > 0.97 and kept > 0.97
 
 
+def test_language_id_rejects_unlisted_languages(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    texts = [
+        "Η γλώσσα αυτή δεν περιλαμβάνεται στο μοντέλο και πρέπει να απορριφθεί από το σύστημα",
+        "Этот текст написан на русском языке и не должен быть принят как испанский текст",
+        "この文章は日本語で書かれているので、スペイン語ではありません。",
+        "Tämä lause on kirjoitettu suomeksi eikä sitä pidä tunnistaa espanjaksi tai miksikään muuksi kieleksi",
+        "To zdanie jest napisane po polsku i nie powinno zostać uznane za hiszpańskie ani żadne inne",
+    ]
+    odd = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(texts)], d.schema)
+    found = by_id(language_id.identify(d.union(odd), "doc_id", "text", F.col("lang")).collect())
+    assert all(found[10**6 + i].language == "und" and not found[10**6 + i].kept for i in range(len(texts)))
+    # A language of the corpus that is left out of the fit, and those that stay.
+    model = language_id.fit(d.where("lang <> 'es'"), "text", "lang", "doc_id")
+    found = language_id.identify(d, "doc_id", "text", model=model).join(d.withColumnRenamed("text", "t"), "doc_id").where("letters >= 50")
+    kept = {r["lang"]: r["kept"] for r in found.groupBy("lang").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    assert kept["es"] < 0.05 and min(kept[x] for x in ("de", "en", "fr")) > 0.97
+
+
 def test_language_id_pages(spark):
     model = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet"), "text", "lang", "doc_id")
     pages = spark.read.parquet(f"{SF}/pages.parquet").union(spark.createDataFrame([(10**6, None, None)], "page_id long, url string, html string"))
