@@ -11,7 +11,8 @@ substring keeps buckets small, and then so many more tables are kept, from as ma
 rotations as they need, that pairs at the least cosine meet with a probability of RECALL
 whatever the size. This is measured on partners made for vectors of the sample. Labels of
 some ten thousand rows and less have one table of one bucket: all their pairs are compared.
-Candidates are reranked by the cosine of the original vectors in double precision.
+Candidates are reranked by the cosine of the original vectors in double precision. Vectors
+of each length have rotations and tables of their own; those of different lengths don't link.
 
 Vectors equal in all components and label form a class and one of them goes on; its number
 counts in the links. Null, zero or not finite vectors, and null labels, link with nothing.
@@ -76,6 +77,11 @@ class Quantiser:
         return np.concatenate([np.zeros((len(x), 0), bool), *[v @ r >= 0 for r in self.rotations[: -(-n // len(self.mean))]]], axis=1)[:, :n]
 
 
+def unfitted(d: int) -> Quantiser:
+    """Random rotations, for lengths with too few vectors in the sample to learn on."""
+    return Quantiser(np.zeros((0, d)))
+
+
 def partners(x: np.ndarray, least: float, n: int = PARTNERS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """n pairs of unit vectors at cosine least: rows of x, moved one half anyhow, the other along differences of rows."""
     r = np.random.default_rng(seed)
@@ -181,18 +187,18 @@ def candidate_pairs(codes: DataFrame, kind: str, max_bits: int) -> DataFrame:
 
 
 def rerank(pairs: DataFrame, vectors: DataFrame, kind: str, least: float) -> DataFrame:
-    """The pairs of one label whose cosine is at least least."""
+    """The pairs of one label and length whose cosine is at least least."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                x, y = (np.stack(f[c].to_numpy()).astype(np.float64) for c in ("va", "vb"))
+            for _, g in f.groupby(f["va"].map(len)) if len(f) else ():
+                x, y = (np.stack(g[c].to_numpy()).astype(np.float64) for c in ("va", "vb"))
                 cos = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
-                yield f.loc[cos >= least, ["a", "b"]]
+                yield g.loc[cos >= least, ["a", "b"]]
 
     one = vectors.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("label").alias("la"))
     two = vectors.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("label").alias("lb"))
-    return pairs.join(one, "a").join(two, "b").where("la = lb").select("a", "b", "va", "vb").mapInPandas(run, f"a {kind}, b {kind}")
+    return pairs.join(one, "a").join(two, "b").where("la = lb and size(va) = size(vb)").select("a", "b", "va", "vb").mapInPandas(run, f"a {kind}, b {kind}")
 
 
 def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = COSINE, sample: int = SAMPLE) -> DataFrame:
@@ -207,37 +213,38 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     taken = hashed_sample(vectors.select("v", "rep"), F.col("rep"), sample).toPandas()  # bounded: sample vectors
     if not len(taken):
         return done
-    dims = taken["v"].map(len).max()
-    fitted = np.stack([x for x in taken["v"] if len(x) == dims])
-    fitted = unit(fitted)
-    q = Quantiser(fitted)
-    q.extend(FILTER)
-    counts = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
-    largest = counts.agg(F.max("c")).collect()[0][0]
-    one = SMALL
-    while one < largest and plan_tables(one, q, fitted, least) == (0, 1):
-        one *= 2
-    sizes = {r["label"]: math.ceil(math.log2(r["c"])) for r in counts.where(F.col("c") > one // 2).collect()}  # 2 * rows / SMALL labels at most
-    by_size = {n: plan_tables(1 << n, q, fitted, least) for n in set(sizes.values())}
-    plans = {label: by_size[n] for label, n in sizes.items() if by_size[n] != (0, 1)}
-    q.extend(max([k * n for k, n in by_size.values()], default=0))
-    held = rows.sparkSession.sparkContext.broadcast((q, plans))  # rotations, and plans of large labels
+    lengths = taken["v"].map(len)
+    fitted = {int(d): unit(np.stack(taken["v"][lengths == d].to_numpy())) for d in lengths.unique()}
+    fitted = {d: x for d, x in fitted.items() if len(x) > d}
+    fits = {d: Quantiser(x) for d, x in fitted.items()}
+    counts = vectors.groupBy("label", F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c"))
+    sizes = {(r["label"], r["d"]): math.ceil(math.log2(r["c"])) for r in counts.where(F.col("c") > SMALL // 2).collect()}  # 2 * rows / SMALL labels and lengths at most
+    by_size = {}
+    for d, n in {(d, n) for (_, d), n in sizes.items()}:
+        q = fits.setdefault(d, unfitted(d))
+        by_size[d, n] = plan_tables(1 << n, q, fitted.get(d, np.zeros((0, d))), least)
+    for d, q in fits.items():
+        q.extend(max([FILTER, *[k * m for (e, _), (k, m) in by_size.items() if e == d]]))
+    max_bits = max([most_bits(q, fitted.get(d, np.zeros((0, d))), least) for d, q in fits.items()], default=most_bits(unfitted(1), np.zeros((0, 1)), least))
+    plans = {key: by_size[key[1], n] for key, n in sizes.items() if by_size[key[1], n] != (0, 1)}
+    held = rows.sparkSession.sparkContext.broadcast((fits, plans))  # rotations by length, and plans of large labels
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, plans = held.value
+        fits, plans = held.value
         for f in frames:
-            f = f[f["v"].map(len) == dims]
-            plan = f["label"].map(lambda x: plans.get(x, (0, 1)))
-            for (k, n), g in f.groupby(plan):
+            lengths = f["v"].map(len)
+            keys = pd.Series([(d, *plans.get((label, d), (0, 1))) for label, d in zip(f["label"], lengths, strict=True)], index=f.index, dtype=object)
+            for (d, k, n), g in f.groupby(keys):
+                q = fits[d] if d in fits else unfitted(d)
                 bits = q.bits(unit(np.stack(g["v"].to_numpy()).astype(np.float64)), max(FILTER, k * n))
                 c = np.packbits(bits[:, :FILTER], axis=1).view(np.int64)
                 weights = 1 << np.arange(k, dtype=np.int64)
                 for t in range(n):
-                    yield pd.DataFrame({"label": g["label"].to_numpy(), "t": t, "s": bits[:, t * k : (t + 1) * k].astype(np.int64) @ weights, "rep": g["rep"].to_numpy(), "c0": c[:, 0], "c1": c[:, 1]})
+                    yield pd.DataFrame({"label": g["label"].to_numpy(), "d": d, "t": t, "s": bits[:, t * k : (t + 1) * k].astype(np.int64) @ weights, "rep": g["rep"].to_numpy(), "c0": c[:, 0], "c1": c[:, 1]})
 
-    codes = vectors.select("rep", "label", "v").mapInPandas(code, f"label string, t int, s long, rep {kind}, c0 long, c1 long")
-    codes = codes.select(F.xxhash64("label", "t", "s").alias("key"), "rep", "c0", "c1")
-    links = stage(rerank(candidate_pairs(codes, kind, most_bits(q, fitted, least)), vectors, kind, least), "embedding-links")
+    codes = vectors.select("rep", "label", "v").mapInPandas(code, f"label string, d int, t int, s long, rep {kind}, c0 long, c1 long")
+    codes = codes.select(F.xxhash64("label", "d", "t", "s").alias("key"), "rep", "c0", "c1")
+    links = stage(rerank(candidate_pairs(codes, kind, max_bits), vectors, kind, least), "embedding-links")
     number = vectors.select("rep", F.col("n").alias("other"))
     each = links.select(F.col("a").alias("rep"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("to")))
     counts = each.join(number.withColumnRenamed("rep", "to"), "to").groupBy("rep").agg(F.sum("other").alias("linked"))

@@ -298,6 +298,20 @@ def test_embedding_dedup_by_tables(spark, monkeypatch):
     assert len(found) == len(data) and np.mean(linked) >= 0.98
 
 
+def test_embedding_dedup_of_mixed_lengths(spark):
+    """Each length links by itself, be it common or rare; the longest one is there once."""
+    r = np.random.default_rng(10)
+    data = [(999, r.normal(size=96).tolist(), 1)]
+    for d, n in ((64, 100), (32, 40), (3, 2)):
+        for _ in range(n):
+            x = r.normal(size=d)
+            data += [(len(data), x.tolist(), 1), (len(data) + 1, (x + 0.02 * r.normal(size=d)).tolist(), 1)]
+    found = by_id(embedding_dedup.embedding_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect())
+    assert found[999].n_links == 0 and len(found) == len(data)
+    assert all(found[i].n_links >= 1 and found[i + 1].component_id <= i for i in range(1, len(data), 2))
+    assert all(found[i].n_links == 1 for i in range(1, 281))
+
+
 def shingles(t, width):
     w = text(t).encode().lower().split()
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
