@@ -66,7 +66,7 @@ class TrigramModel:
         """rows: language, text."""
         self.languages = sorted({lang for lang, _ in rows})
         owner = np.array([self.languages.index(lang) for lang, _ in rows], int)
-        bins = [trigram_bins(text)[0] for _, text in rows]
+        bins = [trigram_bins(text)[0].astype(np.uint16) for _, text in rows]  # BINS fit in
         turn: dict[int, int] = {}
         halves = np.full((2, len(self.languages), BINS), 0.0)  # every other text of a language
         for i, x in zip(owner.tolist(), bins, strict=True):
@@ -130,23 +130,31 @@ def fit(docs: DataFrame, text_col: str, label_col: str, id_col: str, sample: int
     return TrigramModel([(r["label"], r["text"]) for r in rows.orderBy("label", "k").collect()])
 
 
+def _text_posterior(ll: list[float]) -> list[float]:
+    """Under the text alone, unknown text the last."""
+    x = np.array(ll)
+    x[-1] += math.log(UNKNOWN)
+    x = np.exp(x - x.max())
+    return (x / x.sum()).tolist()
+
+
 def suffix_of(host: Column) -> Column:
     """The address suffix: what follows the last dot of a host, or null."""
     return F.when(host.contains("."), F.lower(F.substring_index(host, ".", -1)))
 
 
 def text_evidence(docs: DataFrame, model: TrigramModel, id_col: str, text_col: str, declared: Column, host: Column, suffix: Column) -> DataFrame:
-    """id, declared, host, suffix, ll (log likelihoods, the last of unknown text), letters: written once, then used by every count."""
+    """id, declared, host, suffix, ll (log likelihoods, the last of unknown text), under (posteriors by them), letters: written once, then used by every count."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x BINS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [held.value.score(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "declared", "host", "suffix")] + [pa.array([x for x, _ in got], pa.list_(pa.float64())), pa.array([n for _, n in got], pa.int64())], ["id", "declared", "host", "suffix", "ll", "letters"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "declared", "host", "suffix")] + [pa.array([x for x, _ in got], pa.list_(pa.float64())), pa.array([_text_posterior(x) for x, _ in got], pa.list_(pa.float64())), pa.array([n for _, n in got], pa.int64())], ["id", "declared", "host", "suffix", "ll", "under", "letters"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.lower(declared.cast("string")).alias("declared"), host.cast("string").alias("host"), suffix.cast("string").alias("suffix"), text_of(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return stage(rows.mapInArrow(run, f"id {kind}, declared string, host string, suffix string, ll array<double>, letters long"), "language-text")
+    return stage(rows.mapInArrow(run, f"id {kind}, declared string, host string, suffix string, ll array<double>, under array<double>, letters long"), "language-text")
 
 
 def _posterior(logs: list[Column]) -> list[Column]:
@@ -176,7 +184,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     rows = text_evidence(docs, model, id_col, text_col, declared, host, suffix)
 
     # A document's weight for each language in the counts: its posterior under the text, without letters the declaration.
-    under = _posterior([*[F.col("ll")[i] for i in range(n)], F.col("ll")[n] + math.log(UNKNOWN)])
+    under = [F.col("under")[i] for i in range(n + 1)]
     soft = [F.when(F.col("letters") > 0, p).otherwise(F.coalesce((F.col("declared") == lang).cast("double"), F.lit(1.0 / n))) for lang, p in zip(langs, under[:n], strict=True)]
     soft.append(F.when(F.col("letters") > 0, under[n]).otherwise(0.0))
     weighed = rows.select("declared", "host", "suffix", *[s.alias(f"w{i}") for i, s in enumerate(soft)])
