@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import importable, slices, table
 from .packing import vocabulary_path
-from .pretokens import PieceIds, batch_ids, slices, with_pieces
+from .pretokens import PieceIds, batch_ids, packed, with_pieces
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Transitions kept by a worker; beyond them the table starts anew.
@@ -254,7 +254,7 @@ def token_bytes(path: str) -> list[bytes]:
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """docs' columns but the text's, and ids: array<int>."""
     path = path or vocabulary_path(VOCABULARY)
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col]
     named = [f"c{i}" for i in range(len(keep))]
     cut = with_pieces(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, named, strict=True)], F.col(text_col).alias("text")), "text").select(*named, "__pieces", "__whole")
@@ -265,7 +265,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
         t = transducer(path)
         split = regex.compile(public_tokenizers.PATTERN)
-        ids = PieceIds(lambda pieces: [[x for p in split.findall(q) for x in t.encode(p.encode())] for q in pieces], MEMO)
+        ids = PieceIds(lambda pieces: [packed([x for p in split.findall(q) for x in t.encode(p.encode())]) for q in pieces], MEMO)
         for b in slices(batches):
             tokens, bounds = batch_ids(b.column("__pieces"), b.column("__whole"), ids)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))
@@ -278,7 +278,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """docs' columns, decoded (binary, the bytes as they are) and decoded_text (faulty sequences as U+FFFD)."""
     path = path or vocabulary_path(VOCABULARY)
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     keep = docs.columns
     named = [f"c{i}" for i in range(len(keep))]
     at = named[keep.index(ids_col)]

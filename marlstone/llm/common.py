@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import importable, shared_folder, stage
 
-__all__ = ["anti", "hashed_sample", "importable", "may_contain", "shared_folder", "small_batches", "stage", "table", "text_of"]
+__all__ = ["anti", "hashed_sample", "importable", "may_contain", "shared_folder", "slices", "stage", "table", "text_of"]
 
 #: A membership filter has FILTER_BITS bits for each key, at most FILTER_MAX_BITS (8 MB in all).
 FILTER_BITS, FILTER_MAX_BITS, BITMAP_BITS = 16, 1 << 26, 32768
@@ -18,13 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Give Python workers batches of rows rows at most: whole texts and what is made of them stay small in memory."""
-    importable(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = int(spark.conf.get(key))
-    if held <= 0 or held > rows:
-        spark.conf.set(key, rows)
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each row of a column of texts or of lists; 0 for others."""
+    if pa.types.is_list(column.type):
+        ends = np.asarray(column.offsets, np.int64)
+        inner = np.concatenate([[0], np.cumsum(8 + _sizes(column.values))])
+        return inner[ends[1:]] - inner[ends[:-1]]
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        return np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+    return np.zeros(len(column), np.int64)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most rows rows and most bytes, or of one row, so that what is made of one stays small."""
+    for b in batches:
+        size = np.cumsum(sum((_sizes(c) for c in b.columns), np.zeros(b.num_rows, np.int64)))
+        at = 0
+        while at < b.num_rows:
+            before = size[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(size, before + most, "right"))), b.num_rows)
+            yield b.slice(at, end - at)
+            at = end
 
 
 def text_of(name: str) -> Column:

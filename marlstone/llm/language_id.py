@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, table, text_of
+from .common import importable, slices, stage, table, text_of
 
 SAMPLE, BINS, SMOOTH = 2000, 1 << 16, 0.05
 EFFECTIVE, MIN_POSTERIOR = 60, 0.5
@@ -148,7 +148,7 @@ def text_evidence(docs: DataFrame, model: TrigramModel, id_col: str, text_col: s
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages x BINS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [held.value.score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("id", "declared", "host", "suffix")] + [pa.array([x for x, _ in got], pa.list_(pa.float64())), pa.array([_text_posterior(x) for x, _ in got], pa.list_(pa.float64())), pa.array([n for _, n in got], pa.int64())], ["id", "declared", "host", "suffix", "ll", "under", "letters"])
 
@@ -171,7 +171,7 @@ def _shares(counts: DataFrame, n: int, key: str, above: list[Column], weight: fl
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, model: TrigramModel | None = None, label_col: str = "lang") -> DataFrame:
     """One row per row: id, language, posterior, letters, kept."""
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     none = F.lit(None).cast("string")
     declared, host = (none if c is None else c for c in (declared, host))
     suffix = suffix_of(host.cast("string")) if suffix is None else suffix

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import may_contain, small_batches, stage, table, text_of
+from .common import importable, may_contain, slices, stage, table, text_of
 from .components import components
 
 HASHES, BAND, WIDTH, PERCENT, ROUNDS = 48, 4, 5, 80, 2
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, hashes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for b in batches:
+        for b in slices(batches):
             n, classes, flat = [], [], []
             for t in b.column("text").to_pylist():
                 h = shingle_hashes(words_of(t), width, known)
@@ -118,7 +118,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, set()
-        for b in batches:
+        for b in slices(batches):
             right, texts, others = b.column("b").to_pylist(), b.column("text_a"), b.column("text_b")
             ok = []
             for i in range(b.num_rows):
@@ -144,7 +144,7 @@ def bin_counts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, widt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column("text").to_pylist():
                 n = np.bincount((shingle_hashes(words_of(t), width, known) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
@@ -205,7 +205,7 @@ def across(member: DataFrame, kind: str, percent: int) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, hashes: int = HASHES, band: int = BAND) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept."""
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     docs = docs.select(id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = stage(signatures(docs, id_col, text_col, width, hashes, band), "minhash-rows")

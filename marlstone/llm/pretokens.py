@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,33 +20,54 @@ _S = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: The public pattern of these vocabularies with the white space written out, as \s is ASCII in Java.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Entries of a worker's memory of pieces.
-MEMO = 500_000
+MEMO = 800_000
 
 
-def with_pieces(docs: DataFrame, text_col: str, special: str | None = None) -> DataFrame:
+#: Pre-tokens that are looked up at once: what is made of a long text stays small.
+STEP = 1_000_000
+
+
+@cache
+def special_strings(path: str) -> tuple[str, ...]:
+    """The special strings of a .json file: only the library may cut texts with one of them."""
+    with open(path, encoding="utf-8") as f:
+        return tuple(x["content"] for x in json.load(f).get("added_tokens") or ())
+
+
+def with_pieces(docs: DataFrame, text_col: str, special: tuple[str, ...] = ()) -> DataFrame:
     """docs and __pieces, the pre-tokens, or __whole, the text itself where only the library may cut it.
 
-    That holds for texts with the special string, or with code points that Java's Unicode tables don't know.
+    That holds for texts with a special string, or with code points that Java's Unicode tables don't know.
     """
     text = text_of(text_col)
     odd: Column = text.rlike(r"\p{Cn}")
-    if special:
-        odd = odd | text.contains(special)
+    for s in special:
+        odd = odd | text.contains(s)
     return docs.withColumn("__whole", F.when(odd, text)).withColumn("__pieces", F.when(odd, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
 
 
+def texts_of(column: pa.Array) -> list[str]:
+    """A column without nulls as a list."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit integers."""
+    return array("i", ids).tobytes()
+
+
 class PieceIds:
-    """Ids of pieces; encode maps a list of new pieces to lists of ids.
+    """Ids of pieces, as packed; encode maps a list of new pieces to them.
 
     What was used since the memory was last half full survives when it is full.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = MEMO):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = MEMO):
         self.encode, self.most = encode, most // 2
-        self.memo: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def of(self, pieces: list[str]) -> list[list[int]]:
+    def of(self, pieces: list[str]) -> list[bytes]:
         if len(self.memo) > self.most:
             self.memo, self.old = {}, self.memo
         memo, old = self.memo, self.old
@@ -60,32 +83,31 @@ class PieceIds:
         return [memo[p] for p in pieces]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what is made of one stays small."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def batch_ids(pieces: pa.ListArray, whole: pa.Array, ids: PieceIds) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch, document by document, and the offsets of the documents."""
     n = len(pieces)
     offsets = np.asarray(pieces.offsets, dtype=np.int64)
     offsets = offsets - offsets[0]
-    coded = pieces.flatten().dictionary_encode()
-    lists = ids.of(coded.dictionary.to_pylist())
-    lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(lens.sum()))
-    begins = np.cumsum(lens) - lens
-    at = np.asarray(coded.indices, dtype=np.int64)
-    ends = np.concatenate([[0], np.cumsum(lens[at])])
-    take = np.repeat(begins[at] - ends[:-1], lens[at]) + np.arange(ends[-1])
-    tokens, bounds = flat[take], ends[offsets]
+    flat = pieces.flatten()
+    parts, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for start in range(0, len(flat), STEP):
+        coded = flat.slice(start, STEP).dictionary_encode()
+        lists = ids.of(texts_of(coded.dictionary))
+        lens = np.fromiter(map(len, lists), np.int32, len(lists)) >> 2
+        held = np.frombuffer(b"".join(lists), np.int32)
+        at = np.asarray(coded.indices)
+        each = lens[at]
+        ends = np.cumsum(each)
+        take = np.repeat(((np.cumsum(lens) - lens)[at] - (ends - each)).astype(np.int32), each)
+        take += np.arange(len(take), dtype=np.int32)
+        parts.append(held[take])
+        counts.append(each)
+    tokens, bounds = np.concatenate(parts), np.cumsum(np.concatenate(counts))[offsets]
     if whole.null_count < n:  # rare: put the library's ids of whole texts in their place
-        odd = {i: np.asarray(ids.encode([t])[0], np.int32) for i, t in enumerate(whole.to_pylist()) if t is not None}
+        odd = {i: np.frombuffer(ids.encode([t])[0], np.int32) for i, t in enumerate(whole.to_pylist()) if t is not None}
         parts = [odd[i] if i in odd else tokens[bounds[i] : bounds[i + 1]] for i in range(n)]
         tokens, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    return tokens.astype(np.int32, copy=False), bounds.astype(np.int64)
+    return tokens, bounds
 
 
 _HELD: dict[str, object] = {}
@@ -106,4 +128,4 @@ def tokenizer(path: str):
 
 def json_ids(path: str) -> PieceIds:
     t = tokenizer(path)
-    return PieceIds(lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else [])
+    return PieceIds(lambda texts: [packed(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else [])

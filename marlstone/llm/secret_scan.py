@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of
+from .common import importable, slices, table, text_of
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -74,14 +74,14 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
 
 def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs' columns but the text's, and spans: array<struct<start, kind, end>> ordered by start, then kind as in KINDS."""
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col]
     named = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, named, strict=True)], text_of(text_col).alias("text"))
     span = pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column("text").to_pylist():
                 base = base_spans(t)
@@ -94,7 +94,7 @@ def secret_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of a secret replaced by mark; overlapping spans as one. Texts without secrets, null ones too, stay as they are."""
-    small_batches(docs.sparkSession)
+    importable(docs.sparkSession)
     schema = docs.schema
     at = docs.columns.index(text_col)
 
@@ -111,7 +111,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
         return "".join([*out, text[done:]]) if spans else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             arrays = b.columns
             arrays[at] = pa.array([clean(t) for t in arrays[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(arrays, b.schema.names)

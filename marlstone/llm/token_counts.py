@@ -2,9 +2,11 @@
 
 The distinct pre-tokens of the table are counted over all documents and each is given to
 the library once. A document's count is the sum of its pre-tokens' counts times their
-frequencies. The frequencies meet the counts in two joins: the HEAVY most frequent short
-pre-tokens, a table of bounded size, are looked up where the document is read, and the
-rest are joined by a shuffle and summed; no ids are kept anywhere.
+frequencies. The frequencies meet the counts in two joins: the most frequent pre-tokens,
+HEAVY of them and HEAVY * HEAVY_BYTES bytes at most, are looked up where the document is
+read, and the rest are joined by a shuffle and summed; no ids are kept anywhere. So no key
+of the shuffle is frequent, however long it is. Pre-tokens of more than LONG bytes never
+travel: the library counts them where they stand.
 
 Null counts as empty. Rows count one by one, repeated ones too.
 """
@@ -19,15 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, table, text_of
+from .common import importable, slices, stage, table, text_of
 from .packing import vocabulary_path
-from .pretokens import slices, tokenizer, with_pieces
+from .pretokens import special_strings, texts_of, tokenizer, with_pieces
 
-#: Pre-tokens looked up in each task: so many at most, of HEAVY_BYTES at most each.
-HEAVY, HEAVY_BYTES = 200_000, 24
+#: Pre-tokens looked up in each task: so many at most, of HEAVY_BYTES at most on average.
+HEAVY, HEAVY_BYTES, LONG = 200_000, 24, 4096
 #: Distinct pre-tokens that a task holds before it passes them on.
 HELD = 300_000
-SPECIAL = "<|endoftext|>"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,8 +42,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         coded = b.column("__pieces").flatten().dictionary_encode()
         n = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary)).tolist()
-        for p, k in zip(coded.dictionary.to_pylist(), n, strict=True):
-            held[p] = held.get(p, 0) + k
+        short = np.asarray(pc.less_equal(pc.binary_length(coded.dictionary), LONG)).tolist()
+        for p, k, ok in zip(texts_of(coded.dictionary), n, short, strict=True):
+            if ok:
+                held[p] = held.get(p, 0) + k
         if len(held) > HELD:
             yield out()
     yield out()
@@ -54,33 +57,33 @@ def piece_counts(docs: DataFrame, text_col: str, path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in slices(batches, 20_000):
-            k = [len(e) for e in t.encode_batch_fast(b.column("piece").to_pylist(), add_special_tokens=False)] if b.num_rows else []
+            k = [len(e) for e in t.encode_batch_fast(texts_of(b.column("piece")), add_special_tokens=False)] if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column("piece"), b.column("n"), pa.array(k, pa.int64())], ["piece", "n", "k"])
 
-    cut = with_pieces(docs.select(F.col(text_col).alias("text")), "text", SPECIAL).select("__pieces")
+    cut = with_pieces(docs.select(F.col(text_col).alias("text")), "text", special_strings(path)).select("__pieces")
     return stage(cut.mapInArrow(_counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(count, "piece string, n long, k long"), "piece-counts")
 
 
 def heavy_pieces(counts: DataFrame, heavy: int) -> DataFrame:
-    """piece, k of the most frequent short pre-tokens, heavy of them at most: all above a frequency."""
-    level = F.floor(F.log2("n") * 8)
-    short = counts.where((F.octet_length("piece") <= HEAVY_BYTES) & (F.col("n") > 0)).withColumn("level", level)
-    least, total = None, 0
-    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # eight levels for each doubling
-        total += r["count"]
-        if total > heavy:
+    """piece, k of the most frequent pre-tokens, within both bounds: all above a frequency."""
+    found = counts.where("n > 0").withColumn("level", F.floor(F.log2("n") * 8))
+    levels = found.groupBy("level").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("piece")).alias("size")).collect()  # eight for each doubling of the frequency
+    least, total, size = None, 0, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        total, size = total + r["c"], size + r["size"]
+        if total > heavy or size > heavy * HEAVY_BYTES:
             break
         least = r["level"]
-    return (short.where(F.col("level") >= least) if least is not None else short.where(F.lit(False))).select("piece", "k")
+    return (found.where(F.col("level") >= least) if least is not None else found.where(F.lit(False))).select("piece", "k")
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, heavy: int = HEAVY) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens. path: a .json file whose pre-tokenizer is the public byte-level one."""
     path = path or vocabulary_path()
     spark = docs.sparkSession
-    small_batches(spark)
+    importable(spark)
     counts = piece_counts(docs, text_col, path)
-    top = heavy_pieces(counts, heavy).toPandas()  # bounded: heavy rows of HEAVY_BYTES
+    top = heavy_pieces(counts, heavy).toPandas()  # bounded: heavy rows, heavy * HEAVY_BYTES bytes
     known = spark.sparkContext.broadcast(dict(zip(top["piece"].tolist(), top["k"].tolist(), strict=True)))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +93,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pieces = b.column("__pieces")
             offsets = np.asarray(pieces.offsets, dtype=np.int64)
             coded = pieces.flatten().dictionary_encode()
-            k = np.fromiter((get(p, -1) for p in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            k = np.fromiter((get(p, -1) for p in texts_of(coded.dictionary)), np.int64, len(coded.dictionary))
+            for i in np.flatnonzero(np.asarray(pc.greater(pc.binary_length(coded.dictionary), LONG))).tolist():
+                k[i] = len(t.encode(coded.dictionary[i].as_py(), add_special_tokens=False))
             at = np.asarray(coded.indices, dtype=np.int64)
             doc = np.repeat(np.arange(n), np.diff(offsets))
             known_k = k[at]
@@ -118,7 +123,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = with_pieces(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("n_bytes", F.octet_length(text_of("text")).cast("long")), "text", SPECIAL)
+    rows = with_pieces(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("n_bytes", F.octet_length(text_of("text")).cast("long")), "text", special_strings(path))
     kind = rows.schema["id"].dataType.simpleString()
     found = rows.select("uid", "id", "n_bytes", "__pieces", "__whole").mapInArrow(look_up, f"uid long, id {kind}, n_bytes long, n long, piece string")
     found = found.join(counts.select("piece", "k"), "piece", "left")
