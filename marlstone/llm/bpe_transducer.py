@@ -11,7 +11,8 @@ missing, the nondeterministic machine takes the piece to its end, so that rare p
 don't fill the table.
 
 Decoding maps ids to bytes and follows UTF-8 with a state machine that keeps an unfinished
-character between calls.
+character between calls. The machine's steps are tabled for whole tokens too, so that a
+list of ids is followed token by token; where a fault is met it goes on byte by byte.
 
 Null and empty texts give no ids. Rows are encoded one by one.
 """
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,38 +203,104 @@ class Transducer:
         return ids + list(states[state][-1][2])  # what the item that ends here has not emitted
 
 
+#: States of UTF-8 (fixed values of the encoding): 0 between characters; 1 to 3 so many bytes to come;
+#: 4 to 7 after E0, ED, F0 and F4, where the next byte is narrowed; BAD for a byte that can't follow.
+BAD = 8
+_NEXT = {4: (0xA0, 0xBF, 1), 5: (0x80, 0x9F, 1), 6: (0x90, 0xBF, 2), 7: (0x80, 0x8F, 2), 1: (0x80, 0xBF, 0), 2: (0x80, 0xBF, 1), 3: (0x80, 0xBF, 2)}
+_LEADS = ((0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7))
+
+
+def _utf8_steps() -> np.ndarray:
+    steps = np.full((BAD + 1, 256), BAD, np.uint8)
+    for low, high, to in _LEADS:
+        steps[0, low : high + 1] = to
+    for state, (low, high, to) in _NEXT.items():
+        steps[state, low : high + 1] = to
+    return steps
+
+
+UTF8 = _utf8_steps()
+
+
 class Utf8Decoder:
-    """Streaming decoding: feed() returns the text of what is complete, a faulty sequence as U+FFFD."""
+    """Streaming decoding, byte by byte: feed() returns the text of what is complete, a faulty sequence as U+FFFD."""
 
-    #: Bytes that may follow a lead byte first, where they are fewer than 80 to BF (fixed values of UTF-8).
-    NARROW = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}
+    STEPS = [row.tolist() for row in UTF8]
 
     def __init__(self) -> None:
-        self.held = b""
-
-    @classmethod
-    def unfinished(cls, data: bytes) -> int:
-        """The length of the longest end of data that may begin a character."""
-        for n in range(1, min(3, len(data)) + 1):
-            lead = data[-n]
-            if lead & 0xC0 == 0x80:
-                continue
-            size = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 1
-            if n >= size:
-                return 0
-            low, high = cls.NARROW.get(lead, (0x80, 0xBF))
-            return n if n == 1 or low <= data[-n + 1] <= high else 0
-        return 0
+        self.state, self.held = 0, b""
 
     def feed(self, data: bytes, final: bool = False) -> str:
         data = self.held + data
-        n = 0 if final else self.unfinished(data)
-        self.held = data[len(data) - n :]
-        return data[: len(data) - n].decode("utf-8", "replace")
+        state, at, begin, good, out = self.state, len(self.held), 0, 0, []
+        while at < len(data):
+            to = self.STEPS[state][data[at]]
+            if to == BAD:
+                out += [data[begin:good].decode(), "\ufffd"]
+                at += not state  # a byte that can't begin a character is one fault; else it is looked at again
+                begin = good = at
+                state = 0
+                continue
+            at += 1
+            state = to
+            if not to:
+                good = at
+        out.append(data[begin:good].decode())
+        self.state, self.held = state, data[good:]
+        if final and self.held:
+            self.state, self.held = 0, b""
+            out.append("\ufffd")
+        return "".join(out)
+
+
+class TokenDecoder:
+    """The bytes of tokens, and the UTF-8 machine's steps by whole tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        n = max(ranks.values()) + 1
+        of = [b""] * n
+        for b, r in ranks.items():
+            of[r] = b
+        self.data = np.frombuffer(b"".join(of), np.uint8)
+        self.lens = np.fromiter(map(len, of), np.int64, n)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.after = np.repeat(np.arange(BAD + 1, dtype=np.uint8)[:, None], n, axis=1)
+        for k in range(int(self.lens.max())):
+            longer = np.flatnonzero(self.lens > k)
+            self.after[:, longer] = UTF8[self.after[:, longer], self.data[self.starts[longer] + k]]
+
+    def bytes_of(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes, and where those of each list begin and end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lens) or not self.lens[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        each = self.lens[ids]
+        ends = np.cumsum(each)
+        take = np.repeat(self.starts[ids] - (ends - each), each)
+        take += np.arange(len(take))
+        return self.data[take], np.concatenate([[0], ends])[bounds]
+
+    def faulty(self, ids: np.ndarray, bounds: np.ndarray) -> set[int]:
+        """The lists that the machine does not leave between characters."""
+        odd = np.flatnonzero(self.after[0][ids])  # where a token does not lead from between characters to there
+        out, done = set(), 0
+        for i, doc in zip(odd.tolist(), (np.searchsorted(bounds, odd, "right") - 1).tolist(), strict=True):
+            if i < done:
+                continue
+            state, done, end = 0, i, int(bounds[doc + 1])
+            while done < end:
+                state = self.after[state, ids[done]]
+                done += 1
+                if state == BAD:
+                    done = end
+                elif not state:
+                    break
+            if state:
+                out.add(doc)
+        return out
 
 
 _HELD: dict[str, Transducer] = {}
-_BYTES: dict[str, list[bytes]] = {}
+_DECODERS: dict[str, TokenDecoder] = {}
 
 
 def transducer(path: str) -> Transducer:
@@ -241,21 +309,17 @@ def transducer(path: str) -> Transducer:
     return _HELD[path]
 
 
-def token_bytes(path: str) -> list[bytes]:
-    if path not in _BYTES:
-        ranks = load_ranks(path)
-        table_ = [b""] * (max(ranks.values()) + 1)
-        for b, r in ranks.items():
-            table_[r] = b
-        _BYTES[path] = table_
-    return _BYTES[path]
+def token_decoder(path: str) -> TokenDecoder:
+    if path not in _DECODERS:
+        _DECODERS[path] = TokenDecoder(load_ranks(path))
+    return _DECODERS[path]
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """docs' columns but the text's, and ids: array<int>."""
+    """docs' columns but the text's, and ids: array<int>, in the place of a column of that name."""
     path = path or vocabulary_path(VOCABULARY)
     importable(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text_col]
+    keep = [c for c in docs.columns if c not in (text_col, "ids")]
     named = [f"c{i}" for i in range(len(keep))]
     cut = with_pieces(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, named, strict=True)], F.col(text_col).alias("text")), "text").select(*named, "__pieces", "__whole")
 
@@ -276,32 +340,42 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """docs' columns, decoded (binary, the bytes as they are) and decoded_text (faulty sequences as U+FFFD)."""
+    """docs' columns and decoded_text, in the place of a column of that name: the text of the ids' bytes, a faulty sequence as U+FFFD.
+
+    A null list gives null, a null id or one that is not in the vocabulary an error.
+    """
     path = path or vocabulary_path(VOCABULARY)
     importable(docs.sparkSession)
+    docs = docs.drop("decoded_text")
     keep = docs.columns
     named = [f"c{i}" for i in range(len(keep))]
     at = named[keep.index(ids_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = token_bytes(path)
+        decoder = token_decoder(path)
         for b in slices(batches):
-            raw, texts = [], []
             lists = b.column(at)
-            offsets, flat = np.asarray(lists.offsets).tolist(), list(map(of.__getitem__, np.asarray(lists.flatten()).tolist()))
-            base = offsets[0]
-            for i in range(b.num_rows):
-                data, stream = b"".join(flat[offsets[i] - base : offsets[i + 1] - base]), Utf8Decoder()
-                raw.append(data)
-                texts.append("".join(stream.feed(data[k : k + 65536], k + 65536 >= len(data)) for k in range(0, len(data), 65536)))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in named), pa.array(raw, pa.binary()), pa.array(texts, pa.string())], [*named, "decoded", "decoded_text"])
+            flat = lists.flatten()
+            if flat.null_count:
+                raise ValueError("an id is null")
+            ids = np.asarray(flat)
+            bounds = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64))])
+            data, ends = decoder.bytes_of(ids, bounds)
+            faulty = decoder.faulty(ids, bounds)
+            if faulty or lists.null_count:
+                null = set(np.flatnonzero(np.asarray(lists.is_null())).tolist())
+                part = lambda i: data[ends[i] : ends[i + 1]].tobytes()
+                texts = pa.array([None if i in null else Utf8Decoder().feed(part(i), True) if i in faulty else part(i).decode() for i in range(b.num_rows)], pa.string())
+            else:
+                texts = pa.Array.from_buffers(pa.string(), b.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in named), texts], [*named, "decoded_text"])
 
     renamed = docs.toDF(*named)
     schema = "".join(f"{n} {renamed.schema[n].dataType.simpleString()}, " for n in named)
-    return renamed.mapInArrow(run, f"{schema}decoded binary, decoded_text string").toDF(*keep, "decoded", "decoded_text")
+    return renamed.mapInArrow(run, f"{schema}decoded_text string").toDF(*keep, "decoded_text")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
     joined = F.encode(F.array_join("ids", " "), "UTF-8")
-    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.encode("decoded_text", "UTF-8"), 256).alias("decoded_sha256"))
