@@ -1,16 +1,23 @@
 """URL filters: host and path rules, and a tree of path templates (DataFrame operations only).
 
-A url's host, first path segment and rest are shaped: long hexadecimal runs become {h} and
-numbers {n}. Urls are counted by shape, with those that a rule decides as labels; all later
-steps work on these counts. Per host, where a place holds more than MAX_BRANCHES different
-segments, those with less than MIN_SHARE of the host's urls become the wildcard {*}. Then
-statistically similar siblings merge: labelled siblings are ordered by their share of
-blocked urls, and neighbours whose shares differ by no more than Z standard errors join;
-siblings with fewer than MIN_LABELLED labels stay by themselves. First segments go first,
-then the rests below the merged branches. A template is rejected if its smoothed share of
-blocked urls reaches PURITY and it has MIN_LABELLED labels; urls of other templates pass.
-
-Null urls, and urls without ://, have an empty host and path; rows are judged one by one.
+A path is shaped: long hexadecimal runs become {h} and numbers {n}. Urls are counted by
+host and shape, with those that a rule decides as labels; the tree is grown on these counts,
+a level for each segment, from the host down. At a node,
+  a place that holds more than MAX_BRANCHES different segments is variable: segments with
+  less than MIN_SHARE of its urls form one group, {*};
+  other segments form groups of like shape: the kind of the segment (number, hexadecimal,
+  word, empty) and the commonest sequence of kinds below it.
+In each group statistically similar siblings merge. Those with MIN_LABELLED labels or more
+are put in BINS by their share of blocked urls, and neighbouring bins stay together unless
+their shares differ by more than GAP and Z standard errors. Siblings with fewer labels, or
+none, join them where all labelled ones of the group are alike and at least MIN_SIBLINGS
+of them have labels: then the shape decides and not the name. Else those without labels
+are a branch of their own, and the rest stand by themselves. A template is a path through
+merged branches; it is rejected if its smoothed share of blocked urls reaches PURITY and it
+has MIN_LABELLED labels. Urls of other templates pass.
+
+The tree has LEVELS levels; what a path has beyond them is one last segment. Null urls, and
+urls without ://, have an empty host and path; rows are judged one by one, repeated ones alike.
 """
 
 from __future__ import annotations
@@ -20,11 +27,12 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stage, table
 
 #: Rules (fixed values): verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-MAX_BRANCHES, MIN_SHARE, MIN_LABELLED, Z, PURITY, PRIOR_WEIGHT = 32, 0.05, 3, 2.0, 0.8, 2.0
+MAX_BRANCHES, MIN_SHARE, MIN_LABELLED, MIN_SIBLINGS, Z, GAP, PURITY, PRIOR_WEIGHT = 32, 0.05, 3, 3, 2.0, 0.1, 0.8, 2.0
+BINS, LEVELS = 64, 8
 
 
 def host_of(url: Column) -> Column:
@@ -48,50 +56,77 @@ def shaped(part: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(part, r"[0-9a-f]{12,}", "{h}"), r"[0-9]+", "{n}")
 
 
-def _general(counts: DataFrame, above: list[str], part: str) -> DataFrame:
-    """part's rare values become {*} where there are many."""
-    values = counts.groupBy(*above, part).agg(F.sum("n").alias("nv"))
-    totals = values.groupBy(*above).agg(F.count(F.lit(1)).alias("branches"), F.sum("nv").alias("all"))
-    rare = values.join(totals, above).where((F.col("branches") > MAX_BRANCHES) & (F.col("nv") < MIN_SHARE * F.col("all"))).select(*above, part, F.lit("{*}").alias("wild"))
-    return counts.join(rare, [*above, part], "left").withColumn(f"g_{part}", F.coalesce("wild", part)).drop("wild")
+def segments(shape: Column) -> Column:
+    """The segments of a shaped path; the LEVELS-th holds all that follow."""
+    parts = F.split(shape, "/", LEVELS + 1)
+    return F.slice(parts, 2, F.size(parts))
 
 
-def _merged(counts: DataFrame, above: list[str], part: str) -> DataFrame:
-    """Similar siblings get one name, the first of theirs. After _general a place has few siblings."""
-    sibling = counts.groupBy(*above, part).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-    many = sibling.where(F.col("l") >= MIN_LABELLED).withColumn("share", F.col("b") / F.col("l"))
-    order = Window.partitionBy(*above).orderBy("share", part)
-    many = many.withColumn("b0", F.lag("b").over(order)).withColumn("l0", F.lag("l").over(order))
+def kinds(segs: Column) -> Column:
+    """A letter for each segment: e empty, n number, h hexadecimal, w any other."""
+    return F.array_join(F.transform(segs, lambda s: F.when(s == "", "e").when(s == "{n}", "n").when(s.contains("{h}"), "h").otherwise("w")), "")
+
+
+def _siblings(live: DataFrame, d: int) -> DataFrame:
+    """node, seg, l, b, grp: the branches of level d, each with its group."""
+    cells = live.select("node", F.col("segs")[d].alias("seg"), F.substring("kinds", d + 1, 1).alias("own"), F.substring("kinds", d + 2, LEVELS).alias("tail"), "n", "b", "l")
+    cells = cells.groupBy("node", "seg", "own", "tail").agg(*[F.sum(c).alias(c) for c in "nbl"])
+    one = cells.groupBy("node", "seg", "own").agg(*[F.sum(c).alias(c) for c in "nbl"], F.max(F.struct("n", "tail"))["tail"].alias("mode"))
+    places = one.groupBy("node").agg(F.count(F.lit(1)).alias("branches"), F.sum("n").alias("urls"))
+    rare = (F.col("branches") > MAX_BRANCHES) & (F.col("n") < MIN_SHARE * F.col("urls"))
+    return one.join(places, "node").select("node", "seg", "b", "l", F.when(rare, "{*}").otherwise(F.concat("own", F.lit(":"), "mode")).alias("grp"))
+
+
+def _branches(siblings: DataFrame) -> DataFrame:
+    """node, seg, to: the merged branch of each segment. Bins keep the ordered part at BINS + 1 rows a group."""
+    key = ["node", "grp"]
+    bin_ = F.expr(f"(b * {BINS}) div l")
+    rows = siblings.withColumn("bin", F.when(F.col("l") >= MIN_LABELLED, bin_))
+    bins = rows.where("bin is not null").groupBy(*key, "bin").agg(F.sum("b").alias("b"), F.sum("l").alias("l"))
+    order = Window.partitionBy(*key).orderBy("bin")
+    bins = bins.withColumn("b0", F.lag("b").over(order)).withColumn("l0", F.lag("l").over(order))
     pooled = (F.col("b") + F.col("b0")) / (F.col("l") + F.col("l0"))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("l") + 1 / F.col("l0")))
-    apart = F.when(F.col("b0").isNull(), 0).when(F.col("share") - F.col("b0") / F.col("l0") > Z * error, 1).otherwise(0)
-    many = many.withColumn("cluster", F.sum(apart).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    names = many.withColumn("name", F.min(part).over(Window.partitionBy(*above, "cluster"))).select(*above, part, "name")
-    return counts.join(names, [*above, part], "left").withColumn(f"m_{part}", F.coalesce("name", part)).drop("name")
+    error = F.sqrt(F.greatest(pooled * (1 - pooled) * (1 / F.col("l") + 1 / F.col("l0")), F.lit(0.0)))
+    apart = F.when(F.col("b0").isNull(), 0).when(F.col("b") / F.col("l") - F.col("b0") / F.col("l0") > F.greatest(F.lit(GAP), Z * error), 1).otherwise(0)
+    bins = bins.select(*key, "bin", F.sum(apart).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
+    alike = rows.groupBy(*key).agg(F.count(F.when(F.col("l") > 0, 1)).alias("some")).join(bins.groupBy(*key).agg(F.max("c").alias("last")), key, "left")
+    alike = alike.select(*key, ((F.col("some") >= MIN_SIBLINGS) & (F.coalesce("last", F.lit(0)) == 0)).alias("alike"))
+    rows = rows.join(alike, key).join(bins, [*key, "bin"], "left")
+    cluster = F.coalesce("c", F.when(F.col("alike"), 0).when(F.col("l") == 0, -1))
+    return rows.select("node", "seg", F.coalesce(F.concat("node", F.lit("/"), "grp", F.lit("#"), cluster.cast("string")), F.concat("node", F.lit("/="), "seg")).alias("to"))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, shape, node, b, l: the template of each shape, and its shape's labels. pages: host, shape, verdict (null: not labelled)."""
+    counts = pages.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("verdict") == "block", 1)).alias("b"), F.count("verdict").alias("l"))
+    counts = counts.withColumn("node", F.col("host")).withColumn("segs", segments(F.col("shape"))).withColumn("kinds", kinds(F.col("segs")))
+    counts = stage(counts, "url-counts")
+    deepest = counts.agg(F.max(F.size("segs"))).collect()[0][0] or 0  # one number, LEVELS at most
+    for d in range(deepest):
+        longer = F.size("segs") > d
+        branch = _branches(stage(_siblings(counts.where(longer), d), "url-siblings"))
+        # An ended path has a null segment and so keeps its node.
+        moved = counts.withColumn("seg", F.get("segs", F.lit(d))).join(branch, ["node", "seg"], "left")
+        counts = stage(moved.select("host", "shape", F.coalesce("to", "node").alias("node"), "n", "b", "l", "segs", "kinds"), "url-level")
+    return counts.select("host", "shape", "node", "b", "l")
 
 
 def rejected_shapes(pages: DataFrame) -> DataFrame:
-    """host, s1, s2 of the shapes whose template is rejected. pages: host, s1, s2, verdict (null: not labelled)."""
-    counts = pages.groupBy("host", "s1", "s2").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("verdict") == "block", 1)).alias("blocked"), F.count("verdict").alias("labelled"))
-    world = counts.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("prior"))
-    first = _merged(_general(counts, ["host"], "s1"), ["host"], "g_s1")
-    both = _merged(_general(first, ["host", "m_g_s1"], "s2"), ["host", "m_g_s1"], "g_s2")
-    key = ["host", "m_g_s1", "m_g_s2"]
-    templates = both.groupBy(*key).agg(F.sum("blocked").alias("tb"), F.sum("labelled").alias("tl"))
-    prior = world.collect()[0]["prior"]  # one number
-    bad = templates.where((F.col("tl") >= MIN_LABELLED) & ((F.col("tb") + PRIOR_WEIGHT * prior) / (F.col("tl") + PRIOR_WEIGHT) >= PURITY))
-    return both.join(bad.select(*key), key, "left_semi").select("host", "s1", "s2").distinct()
+    """host, shape of the shapes whose template is rejected. pages as for templates()."""
+    held = templates(pages)
+    prior = held.agg(((F.coalesce(F.sum("b"), F.lit(0)) + 1) / (F.coalesce(F.sum("l"), F.lit(0)) + 2)).alias("prior")).collect()[0]["prior"]  # one number
+    whole = held.groupBy("node").agg(F.sum("b").alias("b"), F.sum("l").alias("l"))
+    bad = whole.where((F.col("l") >= MIN_LABELLED) & ((F.col("b") + PRIOR_WEIGHT * prior) / (F.col("l") + PRIOR_WEIGHT) >= PURITY))
+    return held.join(bad.select("node"), "node", "left_semi").select("host", "shape")
 
 
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """One row per row: id, host, path, rule, verdict."""
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, verdict = decided(F.col("host"), F.col("path"), rules)
-    s1 = F.regexp_extract("path", r"^/([^/]*)", 1)
-    s2 = F.regexp_replace("path", r"^/[^/]*", "")
-    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), shaped(s1).alias("s1"), shaped(s2).alias("s2"))
-    bad = rejected_shapes(rows.select("host", "s1", "s2", "verdict")).withColumn("bad", F.lit("block"))
-    out = rows.join(bad, ["host", "s1", "s2"], "left")
+    rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), shaped(F.col("path")).alias("shape"))
+    bad = rejected_shapes(rows.select("host", "shape", "verdict")).withColumn("bad", F.lit("block"))
+    out = rows.join(bad, ["host", "shape"], "left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", "bad", F.lit("allow")).alias("verdict"))
 
 
@@ -100,33 +135,38 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    def merge(source: str, above: str, part: str, name: str) -> str:
-        return f"""
-{name}_s AS (SELECT {above}, {part}, sum(blocked) AS b, sum(labelled) AS l FROM {source} GROUP BY ALL HAVING sum(labelled) >= {MIN_LABELLED}),
-{name}_o AS (SELECT *, b / l AS share, lag(b) OVER w AS b0, lag(l) OVER w AS l0 FROM {name}_s WINDOW w AS (PARTITION BY {above} ORDER BY b / l, {part})),
-{name}_c AS (SELECT *, sum(CASE WHEN b0 IS NOT NULL AND share - b0 / l0 > {Z} * sqrt(greatest((b + b0) / (l + l0) * (1 - (b + b0) / (l + l0)) * (1 / l + 1 / l0), 0)) THEN 1 ELSE 0 END) OVER (PARTITION BY {above} ORDER BY share, {part} ROWS UNBOUNDED PRECEDING) AS cluster FROM {name}_o),
-{name}_n AS (SELECT {above}, {part}, min({part}) OVER (PARTITION BY {above}, cluster) AS name FROM {name}_c),
-{name} AS (SELECT x.*, coalesce(name, x.{part}) AS m_{part} FROM {source} x LEFT JOIN {name}_n USING ({above}, {part}))"""
-
-    def general(source: str, above: str, part: str, name: str) -> str:
-        return f"""
-{name}_v AS (SELECT {above}, {part}, sum(n) AS nv FROM {source} GROUP BY ALL),
-{name}_t AS (SELECT {above}, count(*) AS branches, sum(nv) AS alln FROM {name}_v GROUP BY ALL),
-{name} AS (SELECT x.*, CASE WHEN branches > {MAX_BRANCHES} AND nv < {MIN_SHARE} * alln THEN '{{*}}' ELSE x.{part} END AS g_{part} FROM {source} x JOIN {name}_v USING ({above}, {part}) JOIN {name}_t USING ({above}))"""
-
     order = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     fit = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     case = lambda pick: "CASE " + " ".join(f"WHEN {fit(h, p)} THEN '{pick(v, h, p)}'" for v, h, p in order) + " END"
-    shape = lambda x: f"regexp_replace(regexp_replace({x}, '[0-9a-f]{{12,}}', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g')"
+    shape = "regexp_replace(regexp_replace(path, '[0-9a-f]{12,}', '{h}', 'g'), '[0-9]+', '{n}', 'g')"
+
+    def level(d: int) -> str:
+        own, last = f"segs[{d}]", f"k{d - 1}"
+        return f"""
+c{d} AS (SELECT node, {own} AS seg, kinds[{d}] AS own, kinds[{d + 1}:] AS tail, sum(n) AS n, sum(b) AS b, sum(l) AS l FROM {last} WHERE len(segs) >= {d} GROUP BY ALL),
+o{d} AS (SELECT node, seg, own, sum(n) AS n, sum(b) AS b, sum(l) AS l, max({{'n': n, 't': tail}}).t AS mode FROM c{d} GROUP BY ALL),
+p{d} AS (SELECT node, count(*) AS branches, sum(n) AS urls FROM o{d} GROUP BY ALL),
+s{d} AS MATERIALIZED (SELECT node, seg, b, l, CASE WHEN branches > {MAX_BRANCHES} AND n < {MIN_SHARE} * urls THEN '{{*}}' ELSE own || ':' || mode END AS grp, CASE WHEN l >= {MIN_LABELLED} THEN b * {BINS} // l END AS bin FROM o{d} JOIN p{d} USING (node)),
+a{d} AS (SELECT node, grp, bin, sum(b) AS b, sum(l) AS l FROM s{d} WHERE bin IS NOT NULL GROUP BY ALL),
+g{d} AS (SELECT *, lag(b) OVER w AS b0, lag(l) OVER w AS l0 FROM a{d} WINDOW w AS (PARTITION BY node, grp ORDER BY bin)),
+q{d} AS (SELECT node, grp, bin, sum(CASE WHEN b0 IS NOT NULL AND b / l - b0 / l0 > greatest({GAP}, {Z} * sqrt(greatest((b + b0) / (l + l0) * (1 - (b + b0) / (l + l0)) * (1 / l + 1 / l0), 0))) THEN 1 ELSE 0 END) OVER (PARTITION BY node, grp ORDER BY bin ROWS UNBOUNDED PRECEDING) AS c FROM g{d}),
+m{d} AS (SELECT node, grp, count(*) FILTER (l > 0) >= {MIN_SIBLINGS} AS enough FROM s{d} GROUP BY ALL),
+n{d} AS (SELECT m{d}.node, m{d}.grp, enough AND coalesce(top, 0) = 0 AS alike FROM m{d} LEFT JOIN (SELECT node, grp, max(c) AS top FROM q{d} GROUP BY ALL) t ON t.node = m{d}.node AND t.grp = m{d}.grp),
+b{d} AS (SELECT s.node, s.seg, coalesce(s.node || '/' || s.grp || '#' || CAST(coalesce(c, CASE WHEN alike THEN 0 WHEN l = 0 THEN -1 END) AS VARCHAR), s.node || '/=' || s.seg) AS dest FROM s{d} s JOIN n{d} n ON n.node = s.node AND n.grp = s.grp LEFT JOIN q{d} q ON q.node = s.node AND q.grp = s.grp AND q.bin = s.bin),
+k{d} AS MATERIALIZED (SELECT x.* REPLACE (coalesce(dest, x.node) AS node) FROM {last} x LEFT JOIN b{d} ON b{d}.node = x.node AND b{d}.seg = x.{own})"""
+
     return f"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-r AS MATERIALIZED (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS said, {shape("regexp_extract(path, '^/([^/]*)', 1)")} AS s1, {shape("regexp_replace(path, '^/[^/]*', '')")} AS s2 FROM u),
-c AS (SELECT host, s1, s2, count(*) AS n, count(*) FILTER (said = 'block') AS blocked, count(said) AS labelled FROM r GROUP BY ALL),
-{general('c', 'host', 's1', 'g1')}, {merge('g1', 'host', 'g_s1', 'm1')}, {general('m1', 'host, m_g_s1', 's2', 'g2')}, {merge('g2', 'host, m_g_s1', 'g_s2', 'm2')},
-t AS (SELECT host, m_g_s1, m_g_s2, sum(blocked) AS tb, sum(labelled) AS tl FROM m2 GROUP BY ALL),
-bad AS (SELECT host, m_g_s1, m_g_s2 FROM t WHERE tl >= {MIN_LABELLED} AND (tb + {PRIOR_WEIGHT} * (SELECT (sum(blocked) + 1) / (sum(labelled) + 2) FROM c)) / (tl + {PRIOR_WEIGHT}) >= {PURITY}),
-x AS (SELECT DISTINCT host, s1, s2, 1 AS hit FROM m2 SEMI JOIN bad USING (host, m_g_s1, m_g_s2))
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN hit = 1 THEN 'block' END, 'allow') AS verdict FROM r LEFT JOIN x USING (host, s1, s2)
+r AS MATERIALIZED (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS said, {shape} AS shape FROM u),
+k AS (SELECT host, shape, count(*) AS n, count(*) FILTER (said = 'block') AS b, count(said) AS l FROM r GROUP BY ALL),
+parts AS (SELECT *, string_split(shape, '/')[2:] AS p FROM k),
+cut AS (SELECT *, CASE WHEN len(p) > {LEVELS} THEN list_append(p[1:{LEVELS - 1}], array_to_string(p[{LEVELS}:], '/')) ELSE p END AS segs FROM parts),
+k0 AS MATERIALIZED (SELECT host, shape, n, b, l, host AS node, segs, array_to_string([CASE WHEN s = '' THEN 'e' WHEN s = '{{n}}' THEN 'n' WHEN contains(s, '{{h}}') THEN 'h' ELSE 'w' END FOR s IN segs], '') AS kinds FROM cut),
+{",".join(level(d) for d in range(1, LEVELS + 1))},
+t AS (SELECT node, sum(b) AS b, sum(l) AS l FROM k{LEVELS} GROUP BY ALL),
+bad AS (SELECT node FROM t WHERE l >= {MIN_LABELLED} AND (b + {PRIOR_WEIGHT} * (SELECT (sum(b) + 1) / (sum(l) + 2) FROM k0)) / (l + {PRIOR_WEIGHT}) >= {PURITY}),
+x AS (SELECT host, shape, 1 AS hit FROM k{LEVELS} SEMI JOIN bad USING (node))
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN hit = 1 THEN 'block' END, 'allow') AS verdict FROM r LEFT JOIN x USING (host, shape)
 """
 
 

@@ -390,6 +390,7 @@ def test_near_dedup_of_a_family(spark):
 
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/1?x://y", "http://x.example.com/de/5", "http://x.example.com/de", "http://example.net", "http://notexample.net/en/", "http://q.org/fr/1", "http://q.org/en/1#a", "x://h/deadbeefdeadbeef/12"]
+    urls += [f"http://deep.example.com/{s}/b{k}/c/d/e/f/g/h/i/{k % 3}" for k in range(5) for s in ("de", "en")] + [f"http://v.example.net/w{chr(97 + k // 26)}{chr(97 + k % 26)}/{e}/" for k in range(60) for e in ("en", "x")]
     urls += [f"http://many.org/{k}x/fr{k}/{k}" for k in range(80)] + [f"http://h.example.com/{s}/{k}" for k in range(9) for s in ("de", "en", "fr")]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("")).withColumn("host", F.lit("x"))
     same(url_filter.url_filter(pages), duck(spark, pages, url_filter.SQL, "pages", ("page_id", "url")))
@@ -408,6 +409,48 @@ def test_url_templates_are_rejected_by_purity(spark):
     assert all(found[k].rule is None and found[k].verdict == "block" for k in range(20, 30))
 
 
+def filtered(spark, urls, rules):
+    return by_id(url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect())
+
+
+def nodes(spark, urls):
+    """Templates of urls without labels, by path."""
+    d = spark.createDataFrame([(u,) for u in urls], "url string")
+    d = d.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.shaped(url_filter.path_of(F.col("url"))).alias("shape"), F.lit(None).cast("string").alias("verdict"))
+    return {r.shape: r.node for r in url_filter.templates(d).collect()}
+
+
+def test_url_tree_merges_deep_segments(spark):
+    found = nodes(spark, ["http://h/a/x/12/c", "http://h/a/y/12/c", "http://h/a/y/12", "http://h/b/1/2/3/4/5/6/7/8/9/10", "http://h", "http://h/"])
+    assert found["/a/x/{n}/c"] == found["/a/y/{n}/c"] != found["/a/y/{n}"] and found[""] != found["/"]
+    assert len(found) == 6
+
+
+def test_url_tree_learns_from_labelled_siblings(spark):
+    """Users' spam pages are blocked for other users as well, their clean pages are not; one blocked name among its like decides on no other."""
+    rules = [("block", "h.example", f"/shop/user{c}/spam/") for c in "abcdef"] + [("allow", "h.example", f"/shop/user{c}/ok/") for c in "abcdef"] + [("block", "w.example", "/de/")]
+    urls = [f"http://h.example/shop/user{c}/{kind}/{k}" for c in "abcdefghij" for kind in ("spam", "ok") for k in range(3)]
+    urls += [f"http://w.example/{lang}/{k}" for lang in ("de", "en", "fr", "es") for k in range(40)]
+    found = filtered(spark, urls, rules)
+    for k, u in enumerate(urls):
+        wanted = "block" if "/spam/" in u or "/de/" in u else "allow"
+        assert found[k].verdict == wanted, u
+    assert found[urls.index("http://h.example/shop/userj/spam/0")].rule is None
+
+
+def test_url_tree_of_planted_spam(spark):
+    """Templates planted among the given pages: undecided urls of theirs are blocked, no others."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    before = by_id(url_filter.url_filter(pages).collect())
+    planted = [(10**6 + 100 * v + k, f"http://casino{v}.example.com/{lang}/win/{w}/{k}") for v in range(3) for lang, w in (("de", "slots"), ("de", "cards"), ("de", "dice"), ("it", "slots"), ("it", "cards")) for k in range(6)]
+    rules = (*url_filter.RULES, *[("block", "example.com", f"/{x}/win/") for x in ("fr", "es", "nl")])
+    planted += [(2 * 10**6 + k, f"http://casino0.example.com/{x}/win/slots/{k}") for x in ("fr", "es", "nl") for k in range(4)]
+    found = by_id(url_filter.url_filter(pages.union(spark.createDataFrame(planted, pages.schema)), rules=rules).collect())
+    undecided = [i for i, u in planted if "/it/" in u and "casino0" in u]
+    assert undecided and all(found[i].rule is None and found[i].verdict == "block" for i in undecided)
+    assert all(found[i].verdict == r.verdict for i, r in before.items() if r.rule is None and found[i].rule is None)
+
+
 def test_secret_scan(docs, empty):
     found = secret_scan.secret_scan(docs.drop("spans").select("doc_id", "text")).collect()
     want = {}
