@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import importable, shared_folder, stage
+from ..staging import importable, new_folder, shared_folder, stage, unstage
 
-__all__ = ["anti", "hashed_sample", "importable", "may_contain", "shared_folder", "slices", "stage", "table", "text_of"]
+__all__ = ["anti", "asked", "build_filter", "hashed_sample", "importable", "may_contain", "new_folder", "shared_folder", "slices", "spread_join", "stage", "table", "text_of", "unstage"]
 
 #: A membership filter has FILTER_BITS bits for each key, at most FILTER_MAX_BITS (8 MB in all).
 FILTER_BITS, FILTER_MAX_BITS, BITMAP_BITS = 16, 1 << 26, 32768
@@ -60,23 +60,47 @@ def anti(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFra
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
-def may_contain(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose key's bit is set in a bitmap of keys: all whose key is there and few others, without a shuffle of rows.
-
-    The bitmap is broadcast; it has FILTER_MAX_BITS bits at most, whatever the input. Beyond
-    them it lets more rows through, so what is asked of the rows must be asked again.
-    """
+def build_filter(keys: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
+    """A bitmap of n keys as rows (__bucket, __bitmap), and its bits: FILTER_MAX_BITS at most, whatever the input."""
     bits = BITMAP_BITS
-    while bits < min(FILTER_MAX_BITS, FILTER_BITS * keys.count()):
+    while bits < min(FILTER_MAX_BITS, FILTER_BITS * n):
         bits *= 2
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    bucket = lambda c: (c / BITMAP_BITS).cast("long")
-    bitmap = keys.select(slot.alias("__slot")).groupBy(bucket(F.col("__slot")).alias("__bucket")).agg(F.bitmap_construct_agg(F.col("__slot") % BITMAP_BITS).alias("__bitmap"))
-    probed = rows.withColumn("__slot", slot).withColumn("__bucket", bucket(F.col("__slot"))).join(F.broadcast(bitmap), "__bucket")
-    at = F.col("__slot") % BITMAP_BITS
-    byte = F.conv(F.hex(F.substring("__bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
-    return probed.where(bit).select(*rows.columns)
+    rows = keys.select((slot / BITMAP_BITS).cast("long").alias("__bucket"), (slot % BITMAP_BITS).alias("__slot"))
+    return rows.groupBy("__bucket").agg(F.bitmap_construct_agg("__slot").alias("__bitmap")), bits
+
+
+def asked(rows: DataFrame, filters: list[tuple[DataFrame, int]], key: str) -> DataFrame:
+    """rows and __maybe: whether a filter has the bit of the key, as all keys of its table do and few others. No shuffle of rows.
+
+    The bitmaps are broadcast. Beyond FILTER_MAX_BITS they let more rows through, so what is asked of the rows must be asked again.
+    """
+    out = rows.withColumn("__maybe", F.lit(False))
+    for bitmap, bits in filters:
+        slot = F.pmod(F.xxhash64(key), F.lit(bits))
+        out = out.withColumn("__slot", slot % BITMAP_BITS).withColumn("__bucket", (slot / BITMAP_BITS).cast("long")).join(F.broadcast(bitmap), "__bucket", "left")
+        byte = F.conv(F.hex(F.substring("__bitmap", (F.col("__slot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        bit = F.call_function("shiftright", byte, (F.col("__slot") % 8).cast("int")).bitwiseAND(1) == 1
+        out = out.withColumn("__maybe", F.col("__maybe") | F.coalesce(bit, F.lit(False))).drop("__slot", "__bucket", "__bitmap")
+    return out
+
+
+def may_contain(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be in keys: all whose key is there and few others, without a shuffle of rows."""
+    return asked(rows, [build_filter(keys, key, keys.count())], key).where("__maybe").drop("__maybe")
+
+
+def spread_join(rows: DataFrame, table_: DataFrame, key: list[str], weight: str, parts: int = 1000) -> DataFrame:
+    """rows left joined with table_ (one row a key; weight: how many rows the key has). Both are written tables.
+
+    Keys of one in parts of the rows or more, so parts of them at most, are broadcast; the
+    rest, none of which is hot, are joined by a shuffle.
+    """
+    total = table_.agg(F.sum(weight)).collect()[0][0] or 0  # one number
+    hot = F.col(weight) * parts >= total
+    first = rows.join(F.broadcast(table_.where(hot).withColumn("__hot", F.lit(True))), key, "left")
+    rest = first.where("__hot is null").select(*rows.columns).join(table_.where(~hot), key, "left")
+    return first.where("__hot").select(*rest.columns).unionByName(rest)
 
 
 def hashed_sample(rows: DataFrame, key: Column, n: int) -> DataFrame:

@@ -82,6 +82,25 @@ def test_exact_dedup_survives_colliding_digests(docs):
     assert key(strong) == key(found)
 
 
+def test_exact_dedup_index_grows(spark, docs):
+    """Batches one after the other, compaction and an index that is opened again give what one batch does."""
+    key = lambda d: sorted(map(str, d.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()))
+    want = key(exact_dedup.exact_dedup(docs))
+    parts = [docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(5)) == k) for k in range(5)]
+    for fanout in (2, 3, 10):
+        index = exact_dedup.Index(spark, fanout=fanout)
+        rows = None
+        for k, part in enumerate(parts):
+            own = exact_dedup.memtables(part, "doc_id", "text", batch=k)
+            rows = own if rows is None else rows.unionByName(own)
+            index.add(own)
+            index = exact_dedup.Index.open(spark, index.folder, fanout)
+        assert all(len(level) < fanout for level in index.levels) and (len(index.levels) > 1) == (fanout < 5)
+        if fanout == 10:  # filters that were written are read where runs meet
+            assert len({f.split("/filter")[0] for f in index.hits().inputFiles() if "/filter" in f}) == 5
+        assert key(exact_dedup.resolve(index, rows, docs, "doc_id", "text")) == want
+
+
 def duck(spark, docs, sql, name="documents", columns=("doc_id", "text")):
     con = duckdb.connect()
     con.register(name, docs.select(*columns).toPandas())
