@@ -94,13 +94,16 @@ def spread_join(rows: DataFrame, table_: DataFrame, key: list[str], weight: str,
     """rows left joined with table_ (one row a key; weight: how many rows the key has). Both are written tables.
 
     Keys of one in parts of the rows or more, so parts of them at most, are broadcast; the
-    rest, none of which is hot, are joined by a shuffle.
+    rest, none of which is hot, are joined by a shuffle. Rows with a null key stay where they are.
     """
     total = table_.agg(F.sum(weight)).collect()[0][0] or 0  # one number
     hot = F.col(weight) * parts >= total
     first = rows.join(F.broadcast(table_.where(hot).withColumn("__hot", F.lit(True))), key, "left")
-    rest = first.where("__hot is null").select(*rows.columns).join(table_.where(~hot), key, "left")
-    return first.where("__hot").select(*rest.columns).unionByName(rest)
+    null = F.lit(False)
+    for k in key:
+        null = null | F.col(k).isNull()
+    rest = first.where(F.col("__hot").isNull() & ~null).select(*rows.columns).join(table_.where(~hot), key, "left")
+    return first.where(F.col("__hot") | null).select(*rest.columns).unionByName(rest)
 
 
 def hashed_sample(rows: DataFrame, key: Column, n: int) -> DataFrame:

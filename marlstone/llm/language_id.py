@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import importable, slices, stage, table, text_of
+from .common import importable, slices, spread_join, stage, table, text_of
 
-SAMPLE, BINS, SMOOTH = 2000, 1 << 16, 0.05
+SAMPLE, BINS, SMOOTH, CHUNK = 2000, 1 << 16, 0.05, 1 << 20
 EFFECTIVE, MIN_POSTERIOR = 60, 0.5
 #: The prior of text in no language of the fit, and the share of a language's own texts that counts as low.
 UNKNOWN, LOW = 0.01, 0.01
@@ -44,7 +44,7 @@ def trigram_bins(text: str) -> tuple[np.ndarray, int]:
     """Bins of the trigrams that hold letters, and how many letters there are."""
     x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     if not len(x):
-        return np.zeros(0, np.int64), 0
+        return np.zeros(0, np.uint16), 0
     letter = np.zeros(len(x), bool)
     low = x < 128
     letter[low] = (x[low] >= 97) & (x[low] <= 122)
@@ -58,7 +58,13 @@ def trigram_bins(text: str) -> tuple[np.ndarray, int]:
     x = np.concatenate([[32], x[keep], [32]]).astype(np.uint64)
     h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (x[2:] * np.uint64(0x165667B19E3779F9))
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64), int(letter.sum())
+    return ((h >> np.uint64(40)) % np.uint64(BINS)).astype(np.uint16), int(letter.sum())
+
+
+def text_bins(text: str) -> tuple[np.ndarray, int]:
+    """trigram_bins of a whole text, CHUNK characters at a time: what is made of a long text stays small."""
+    parts = [trigram_bins(text[at : at + CHUNK]) for at in range(0, len(text), CHUNK)] or [trigram_bins("")]
+    return np.concatenate([x for x, _ in parts]), sum(n for _, n in parts)
 
 
 class TrigramModel:
@@ -66,7 +72,7 @@ class TrigramModel:
         """rows: language, text."""
         self.languages = sorted({lang for lang, _ in rows})
         owner = np.array([self.languages.index(lang) for lang, _ in rows], int)
-        bins = [trigram_bins(text)[0].astype(np.uint16) for _, text in rows]  # BINS fit in
+        bins = [text_bins(text)[0] for _, text in rows]
         turn: dict[int, int] = {}
         halves = np.full((2, len(self.languages), BINS), 0.0)  # every other text of a language
         for i, x in zip(owner.tolist(), bins, strict=True):
@@ -107,10 +113,10 @@ class TrigramModel:
 
     def score(self, text: str) -> tuple[list[float], int]:
         """Log likelihoods in the order of languages and then of unknown text, and the number of letters."""
-        bins, letters = trigram_bins(text)
+        bins, letters = text_bins(text)
         if not letters:
             return [0.0] * (len(self.languages) + 1), 0
-        each = self.log[:, bins].mean(axis=1).astype(float)
+        each = np.array([x[bins].mean(dtype=float) for x in self.log])
         unknown = each.max() + self.level[each.argmax()] - self.mixed[bins].mean()
         return (np.append(each, unknown) * min(len(bins), EFFECTIVE)).tolist(), letters
 
@@ -164,9 +170,9 @@ def _posterior(logs: list[Column]) -> list[Column]:
 
 
 def _shares(counts: DataFrame, n: int, key: str, above: list[Column], weight: float) -> DataFrame:
-    """key and p0..: its shares, smoothed towards above with a weight in documents."""
+    """key, docs and p0..: its shares, smoothed towards above with a weight in documents."""
     total = sum((F.col(f"s{i}") for i in range(1, n)), F.col("s0"))
-    return counts.select(key, *[((F.col(f"s{i}") + weight * above[i]) / (total + weight)).alias(f"p_{key}{i}") for i in range(n)])
+    return counts.select(key, "docs", *[((F.col(f"s{i}") + weight * above[i]) / (total + weight)).alias(f"p_{key}{i}") for i in range(n)])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, model: TrigramModel | None = None, label_col: str = "lang") -> DataFrame:
@@ -199,11 +205,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     kinds = [*langs, "other"]
     declared_log = {d: [math.log((seen.get(d, [0.0] * (n + 1))[i] + 0.5) / (totals[i] + 0.5 * len(kinds))) for i in range(n + 1)] for d in kinds}
 
-    by_suffix = stage(_shares(weighed.where("suffix is not null").groupBy("suffix").agg(*sums), n, "suffix", world, SUFFIX_WEIGHT), "language-suffix")
-    hosts = weighed.where("host is not null").groupBy("host").agg(F.min("suffix").alias("suffix"), *sums).join(by_suffix, "suffix", "left")
+    docs_ = F.count(F.lit(1)).alias("docs")
+    by_suffix = stage(_shares(weighed.where("suffix is not null").groupBy("suffix").agg(docs_, *sums), n, "suffix", world, SUFFIX_WEIGHT), "language-suffix")
+    hosts = stage(weighed.where("host is not null").groupBy("host").agg(F.min("suffix").alias("suffix"), docs_, *sums), "language-hosts")
+    hosts = spread_join(hosts, by_suffix.withColumnRenamed("docs", "d"), ["suffix"], "d")
     by_host = stage(_shares(hosts, n, "host", [F.coalesce(f"p_suffix{i}", world[i]) for i in range(n)], HOST_WEIGHT), "language-host")
 
-    fused = rows.join(by_host, "host", "left").join(by_suffix, "suffix", "left")
+    fused = spread_join(rows, by_host, ["host"], "docs").drop("docs")
+    fused = spread_join(fused, by_suffix, ["suffix"], "docs")
     logs = []
     for i in range(n + 1):
         prior = F.coalesce(f"p_host{i}", f"p_suffix{i}", world[i]) * (1 - UNKNOWN) if i < n else F.lit(UNKNOWN)
@@ -229,5 +238,12 @@ def identify_pages(pages: DataFrame, model: TrigramModel) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: evidence is the text and the source, as host. The column lang labels the rows of the fit, and so is none."""
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, "doc_id", "text", F.col("lang"), F.col("source"))
+    return identify(docs, "doc_id", "text", host=F.col("source"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, with all four kinds of evidence; the trigram model is fitted on documents."""
+    model = fit(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
+    return identify_pages(table(spark, sf_dir, "pages"), model)

@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "language_of_pages": language_id.language_of_pages,
     }
 
 

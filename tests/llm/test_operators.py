@@ -300,6 +300,87 @@ def test_language_id_pages(spark):
     assert right > 0.97 and found.where("html is null").collect()[0].kept is False
 
 
+def fused(model, data):
+    """Plain fusion of the evidence: (id, declared, host, suffix, text) to (language, posterior, kept)."""
+    import math
+
+    langs = model.languages
+    n = len(langs)
+    soft, scores = {}, {}
+    for i, declared, _, _, t in data:
+        ll, letters = model.score(text(t))
+        scores[i] = ll, letters
+        if letters:
+            x = [*ll[:n], ll[n] + math.log(language_id.UNKNOWN)]
+            e = [math.exp(v - max(x)) for v in x]
+            soft[i] = [v / sum(e) for v in e]
+        else:
+            soft[i] = [*([float(declared == lang) for lang in langs] if declared else [1 / n] * n), 0.0]
+    sums = lambda ids: [sum(soft[i][k] for i in ids) for k in range(n + 1)]
+    whole = sums([d[0] for d in data])[:n]
+    world = [(w + 1) / (sum(whole) + n) for w in whole]
+
+    def shares(ids, above, weight):
+        s = sums(ids)[:n]
+        return [(s[k] + weight * above[k]) / (sum(s) + weight) for k in range(n)]
+
+    by_suffix = {x: shares([d[0] for d in data if d[3] == x], world, language_id.SUFFIX_WEIGHT) for x in {d[3] for d in data} - {None}}
+    by_host = {h: shares([d[0] for d in data if d[2] == h], by_suffix.get(min((d[3] for d in data if d[2] == h and d[3]), default=None), world), language_id.HOST_WEIGHT) for h in {d[2] for d in data} - {None}}
+    kinds = [*langs, "other"]
+    kind = lambda d: d if d in langs else "other"
+    seen = {x: sums([d[0] for d in data if d[1] and kind(d[1]) == x]) for x in kinds}
+    total = [sum(seen[x][k] for x in kinds) for k in range(n + 1)]
+    out = {}
+    for i, declared, host, suffix, _ in data:
+        ll, letters = scores[i]
+        prior = by_host.get(host) or by_suffix.get(suffix) or world
+        said = [math.log((seen[kind(declared)][k] + 0.5) / (total[k] + 0.5 * len(kinds))) if declared else 0.0 for k in range(n + 1)]
+        x = [ll[k] + math.log(prior[k] * (1 - language_id.UNKNOWN) if k < n else language_id.UNKNOWN) + said[k] for k in range(n + 1)]
+        e = [math.exp(v - max(x)) for v in x]
+        q = [v / sum(e) for v in e]
+        best = max(q[:n])
+        unknown = letters > 0 and q[n] > best
+        out[i] = ("und" if unknown or not letters else langs[q.index(best)], q[n] if unknown else best, letters > 0 and best >= language_id.MIN_POSTERIOR)
+    return out
+
+
+def test_language_id_equals_plain_fusion(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").limit(150).collect()
+    model = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet"), "text", "lang", "doc_id")
+    r = random.Random(13)
+    hosts = ["a.example.de", "b.example.de", "c.example.fr", "plain", None]
+    data = []
+    for i, d in enumerate(docs):
+        h = r.choice(hosts)
+        t = d.text[:r.choice([0, 3, 8, 20, 400])]
+        data.append((i, r.choice([None, d.lang, d.lang, "en", "xx"]), h, h.rsplit(".", 1)[1] if h and "." in h else None, t))
+    d = spark.createDataFrame([x[:3] + x[4:] for x in data], "doc_id long, said string, host string, text string")
+    found = by_id(language_id.identify(d, "doc_id", "text", F.col("said"), F.col("host"), model=model).collect())
+    want = fused(model, data)
+    for i, (language, posterior, kept) in want.items():
+        assert found[i].language == language and abs(found[i].posterior - posterior) < 1e-9 and found[i].kept == kept
+
+
+def test_language_id_query(spark):
+    """The query has no label among its evidence, and is right all the same; pages too."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = language_id.op6_language_id(spark, sf).join(docs, "doc_id").where("letters >= 20 and lang is not null")
+    assert found.agg(F.avg((F.col("language") == F.col("lang")).cast("double"))).collect()[0][0] > 0.98
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    found = language_id.language_of_pages(spark, sf).join(pages, "page_id")
+    assert found.count() == pages.count()
+    assert found.agg(F.avg((F.regexp_extract("html", 'lang="(..)"', 1) == F.col("language")).cast("double"))).collect()[0][0] > 0.97
+
+
+def test_long_texts_are_cut_into_chunks(monkeypatch):
+    t = " ".join(prose(5, 3000)) + " été " * 50
+    whole, n = language_id.text_bins(t)
+    monkeypatch.setattr(language_id, "CHUNK", 1000)
+    cut, m = language_id.text_bins(t)
+    assert m == n and abs(len(cut) - len(whole)) <= 3 * (len(t) // 1000 + 1)
+
+
 def vectors():
     r = np.random.default_rng(3)
     base = r.normal(size=(40, 64))
