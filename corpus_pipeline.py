@@ -26,7 +26,7 @@ def _column(docs: DataFrame, name: str):
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or that no language explains, go. Rows without an id stay."""
-    found = identify(docs, "doc_id", "text", _column(docs, "lang"), _column(docs, "source"))
+    found = identify(docs, "doc_id", "text", host=_column(docs, "source"))
     return anti(docs, found.where("not kept").select("doc_id"))
 
 
