@@ -169,10 +169,10 @@ def _posterior(logs: list[Column]) -> list[Column]:
     return [F.exp(x - top) / total for x in logs]
 
 
-def _shares(counts: DataFrame, n: int, key: str, above: list[Column], weight: float) -> DataFrame:
-    """key, docs and p0..: its shares, smoothed towards above with a weight in documents."""
+def _shares(counts: DataFrame, n: int, key: str, above: Column, weight: float) -> DataFrame:
+    """key, docs and p_key: its shares, smoothed towards above, an array, with a weight in documents."""
     total = sum((F.col(f"s{i}") for i in range(1, n)), F.col("s0"))
-    return counts.select(key, "docs", *[((F.col(f"s{i}") + weight * above[i]) / (total + weight)).alias(f"p_{key}{i}") for i in range(n)])
+    return counts.select(key, "docs", F.array(*[(F.col(f"s{i}") + weight * above[i]) / (total + weight) for i in range(n)]).alias(f"p_{key}"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, model: TrigramModel | None = None, label_col: str = "lang") -> DataFrame:
@@ -180,7 +180,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     importable(docs.sparkSession)
     none = F.lit(None).cast("string")
     declared, host = (none if c is None else c for c in (declared, host))
-    suffix = suffix_of(host.cast("string")) if suffix is None else suffix
+    own_suffix = suffix is not None
+    suffix = suffix if own_suffix else suffix_of(host.cast("string"))
     model = model or fit(docs, text_col, label_col, id_col)
     langs = model.languages
     if not langs:
@@ -201,7 +202,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     totals = [sum(v[i] for v in seen.values()) for i in range(n + 1)]
     whole = weighed.agg(*sums).collect()[0]
     everything = sum((whole[f"s{i}"] or 0.0) for i in range(n))
-    world = [F.lit(((whole[f"s{i}"] or 0.0) + 1.0) / (everything + n)) for i in range(n)]
+    world = F.lit([((whole[f"s{i}"] or 0.0) + 1.0) / (everything + n) for i in range(n)])
     kinds = [*langs, "other"]
     declared_log = {d: [math.log((seen.get(d, [0.0] * (n + 1))[i] + 0.5) / (totals[i] + 0.5 * len(kinds))) for i in range(n + 1)] for d in kinds}
 
@@ -209,13 +210,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     by_suffix = stage(_shares(weighed.where("suffix is not null").groupBy("suffix").agg(docs_, *sums), n, "suffix", world, SUFFIX_WEIGHT), "language-suffix")
     hosts = stage(weighed.where("host is not null").groupBy("host").agg(F.min("suffix").alias("suffix"), docs_, *sums), "language-hosts")
     hosts = spread_join(hosts, by_suffix.withColumnRenamed("docs", "d"), ["suffix"], "d")
-    by_host = stage(_shares(hosts, n, "host", [F.coalesce(f"p_suffix{i}", world[i]) for i in range(n)], HOST_WEIGHT), "language-host")
+    by_host = stage(_shares(hosts, n, "host", F.coalesce("p_suffix", world), HOST_WEIGHT), "language-host")
 
     fused = spread_join(rows, by_host, ["host"], "docs").drop("docs")
-    fused = spread_join(fused, by_suffix, ["suffix"], "docs")
+    if own_suffix:  # else rows without a host have no suffix either
+        fused = spread_join(fused, by_suffix, ["suffix"], "docs").drop("docs").withColumn("p_host", F.coalesce("p_host", "p_suffix"))
+    fused = fused.withColumn("prior", F.coalesce("p_host", world))
     logs = []
     for i in range(n + 1):
-        prior = F.coalesce(f"p_host{i}", f"p_suffix{i}", world[i]) * (1 - UNKNOWN) if i < n else F.lit(UNKNOWN)
+        prior = F.col("prior")[i] * (1 - UNKNOWN) if i < n else F.lit(UNKNOWN)
         said = F.coalesce(*[F.when(known == d, F.lit(declared_log[d][i])) for d in kinds])
         logs.append(F.col("ll")[i] + F.log(prior) + F.when(F.col("declared").isNull(), 0.0).otherwise(said))
     post = fused.select("id", "letters", *[p.alias(f"q{i}") for i, p in enumerate(_posterior(logs))])
