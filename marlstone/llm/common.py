@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..staging import importable, new_folder, shared_folder, stage, unstage
 
-__all__ = ["anti", "asked", "build_filter", "hashed_sample", "importable", "may_contain", "new_folder", "shared_folder", "slices", "spread_join", "stage", "table", "text_of", "unstage"]
+__all__ = ["anti", "asked", "build_filter", "copies", "hashed_sample", "importable", "may_contain", "new_folder", "salted", "shared_folder", "slices", "spread_join", "stage", "table", "text_of", "unstage"]
 
 #: A membership filter has FILTER_BITS bits for each key, at most FILTER_MAX_BITS (8 MB in all).
 FILTER_BITS, FILTER_MAX_BITS, BITMAP_BITS = 16, 1 << 26, 32768
@@ -106,6 +106,19 @@ def spread_join(rows: DataFrame, table_: DataFrame, key: list[str], weight: str,
     return first.where(F.col("__hot") | null).select(*rest.columns).unionByName(rest)
 
 
+def salted(rows: DataFrame, key: str, salt: str, split: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(rows, a written table, with a salt; key and __parts): the rows of a key have so many salts that about split of them at most share one."""
+    many = stage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), "salts")
+    parts = F.ceil(F.col("__n") / split).cast("int")
+    dealt = spread_join(rows, many, [key], "__n").withColumn(salt, F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("__n")
+    return dealt, many.select(key, parts.alias("__parts"))
+
+
+def copies(table_: DataFrame, parts: DataFrame, key: str, salt: str) -> DataFrame:
+    """The rows of table_ whose key is in parts, once for each of its salts."""
+    return table_.join(parts, key).withColumn(salt, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+
+
 def hashed_sample(rows: DataFrame, key: Column, n: int) -> DataFrame:
     """The n rows with the smallest hashes of key, or fewer.
 

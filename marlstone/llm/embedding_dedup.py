@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, importable, stage, table
+from .common import copies, hashed_sample, importable, salted, spread_join, stage, table
 from .components import components
 
 SAMPLE, ROUNDS, COSINE = 20_000, 40, 0.93
@@ -187,7 +187,7 @@ def candidate_pairs(codes: DataFrame, kind: str, max_bits: int) -> DataFrame:
 
 
 def rerank(pairs: DataFrame, vectors: DataFrame, kind: str, least: float) -> DataFrame:
-    """The pairs of one label and length whose cosine is at least least."""
+    """The pairs, a written table, of one label and length whose cosine is at least least."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -198,7 +198,10 @@ def rerank(pairs: DataFrame, vectors: DataFrame, kind: str, least: float) -> Dat
 
     one = vectors.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("label").alias("la"))
     two = vectors.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("label").alias("lb"))
-    return pairs.join(one, "a").join(two, "b").where("la = lb and size(va) = size(vb)").select("a", "b", "va", "vb").mapInPandas(run, f"a {kind}, b {kind}")
+    dealt, parts_a = salted(pairs, "a", "sa")
+    dealt, parts_b = salted(stage(dealt, "embedding-dealt"), "b", "sb")
+    both = dealt.join(copies(one, parts_a, "a", "sa"), ["a", "sa"]).join(copies(two, parts_b, "b", "sb"), ["b", "sb"])
+    return both.where("la = lb and size(va) = size(vb)").select("a", "b", "va", "vb").mapInPandas(run, f"a {kind}, b {kind}")
 
 
 def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = COSINE, sample: int = SAMPLE) -> DataFrame:
@@ -207,8 +210,11 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     kind = rows.schema["id"].dataType.simpleString()
     good = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    usable = rows.where("id is not null and label is not null").where(good)
-    vectors = stage(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "embedding-classes")
+    # A class by a digest of the label and all components, 0.0 for -0.0: whole vectors need not meet again.
+    digest = F.sha2(F.to_json(F.struct("label", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))), 256)
+    rows = rows.withColumn("class", F.when(good & F.col("id").isNotNull() & F.col("label").isNotNull(), digest))
+    vectors = stage(rows.where("class is not null").groupBy("class").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "embedding-classes")
+    rows = stage(rows.select("id", "class"), "embedding-rows")
     done = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     taken = hashed_sample(vectors.select("v", "rep"), F.col("rep"), sample).toPandas()  # bounded: sample vectors
     if not len(taken):
@@ -244,15 +250,14 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     codes = vectors.select("rep", "label", "v").mapInPandas(code, f"label string, d int, t int, s long, rep {kind}, c0 long, c1 long")
     codes = codes.select(F.xxhash64("label", "d", "t", "s").alias("key"), "rep", "c0", "c1")
-    links = stage(rerank(candidate_pairs(codes, kind, max_bits), vectors, kind, least), "embedding-links")
+    links = stage(rerank(stage(candidate_pairs(codes, kind, max_bits), "embedding-pairs"), vectors, kind, least), "embedding-links")
     number = vectors.select("rep", F.col("n").alias("other"))
     each = links.select(F.col("a").alias("rep"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("to")))
     counts = each.join(number.withColumnRenamed("rep", "to"), "to").groupBy("rep").agg(F.sum("other").alias("linked"))
     found = components(links)
-    by_class = vectors.join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = by_class.select(F.col("label").alias("l"), F.col("v").alias("w"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component_id"))
-    usable_key = F.when(good & F.col("id").isNotNull() & F.col("label").isNotNull(), F.col("v"))
-    out = rows.withColumn("v", usable_key).join(by_class, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
+    by_class = vectors.select("class", "rep", "n").join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    by_class = stage(by_class.select("class", "n", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component_id")), "embedding-result")
+    out = spread_join(rows, by_class, ["class"], "n")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

@@ -2,16 +2,20 @@
 
 Each of HASHES permutations gives two signature values, the least and the largest hash of
 a document's shingles, so 2 * HASHES values cost HASHES evaluations. Bands of BAND values
-are the buckets. Documents with equal shingle sets form a class first, and only one of a
-class goes on. In each of ROUNDS rounds every class of a bucket that is not yet in one component with
+are the buckets. Documents with equal sequences of words form a class first, and only one
+of a class goes on. In each of ROUNDS rounds every class of a bucket that is not yet in one component with
 the bucket's hub is compared with it; the hub is the smallest id, then another member in
 each round, and what is linked is one component from then on. So the pairs of a round grow
 with a bucket, not with its square, and large groups of near copies become one component.
 Where a bucket still holds several components after that, their members are compared with
 each other: in blocks of BLOCK members, by counts of shingles in BINS bins first, as two
 sets share no more than the sum of the smaller counts. So every pair that shares a bucket
-is linked, or joined by links, or was found too different. Links are confirmed on whole shingle sets. A pair at the threshold of 0.8
-shares no bucket with a probability of (1 - 0.8 ** 4) ** 24, about three in a million.
+is linked, or joined by links, or was found too different. Links are confirmed on whole
+shingle sets. Least and largest hash of a permutation both agree where two different
+shingles of the union are shared, so a pair at the threshold of 0.8 shares no bucket with a
+probability of (1 - 0.64 ** 2) ** 24, about three in a million, if it has many shingles,
+and of (1 - 0.6 ** 2) ** 24, about two in a hundred thousand, if it has five in all.
+The rows of a frequent bucket and the partners of one hub are dealt over several tasks.
 
 Shingles are WIDTH consecutive words as they stand, after lower-casing A-Z; a text with
 fewer words is one shingle. Null and empty texts have no shingles and no links. Rows with
@@ -20,6 +24,8 @@ the same id are the same document. Ties: the smallest id represents a class.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable, may_contain, slices, stage, table, text_of
+from .common import copies, importable, may_contain, salted, slices, spread_join, stage, table, text_of
 from .components import components
 
 HASHES, BAND, WIDTH, PERCENT, ROUNDS = 48, 4, 5, 80, 2
-BINS, BLOCK = 512, 1024
+BINS, BLOCK, CHUNK = 512, 1024, 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _WORDS = 200_000
 
 
@@ -49,17 +56,32 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space alone
 
 
+def word_hashes(text: str, known: _Words) -> tuple[np.ndarray, bytes]:
+    """The 64-bit hashes of the words, and a SHA-256 of their sequence; CHUNK bytes at a time, cut between words."""
+    data = text.encode("utf-8", "surrogatepass").lower()
+    digest, parts, at = hashlib.sha256(), [], 0
+    while at < len(data):
+        end = at + CHUNK
+        if end < len(data):
+            gap = _GAP.search(data, end)
+            end = gap.start() if gap else len(data)
+        words = data[at:end].split()
+        digest.update(b" ".join(words) + b" " if words else b"")
+        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), digest.digest()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words: list[bytes], width: int, known: _Words) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the shingles."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def shingle_hashes(w: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the shingles of words with these hashes."""
+    if not len(w):
+        return w
     n = min(width, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):
@@ -89,16 +111,17 @@ def min_max_bands(h: np.ndarray, hashes: int = HASHES, band: int = BAND) -> np.n
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: int = HASHES, band: int = BAND) -> DataFrame:
-    """id, class (of equal shingle sets), n_shingles, bands."""
+    """id, class (of equal words, by a SHA-256 of them), n_shingles, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for b in slices(batches):
             n, classes, flat = [], [], []
             for t in b.column("text").to_pylist():
-                h = shingle_hashes(words_of(t), width, known)
+                words, sequence = word_hashes(t, known)
+                h = shingle_hashes(words, width)
                 n.append(len(h))
-                classes.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                classes.append(sequence if len(h) else None)
                 flat.append(min_max_bands(h, hashes, band).view(np.int64) if len(h) else np.zeros(0, np.int64))
             offsets = np.cumsum([0, *map(len, flat)])
             bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
@@ -109,8 +132,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, hashes:
     return rows.mapInArrow(run, f"id {kind}, class binary, n_shingles long, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """ca, cb of the pairs (a, b, ca, cb) whose shingle sets are similar enough; texts are read for documents in pairs alone."""
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, hot: bool) -> DataFrame:
+    """ca, cb of the pairs (a, b, ca, cb) whose shingle sets are similar enough; texts are read for documents in pairs alone.
+
+    A b may have any number of partners, an a too if it is hot, else no more than there are bands.
+    """
 
     def shingles(text: str) -> set:
         w = words_of(text)
@@ -131,11 +157,17 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wid
             yield pa.RecordBatch.from_arrays([b.column("ca").filter(keep), b.column("cb").filter(keep)], ["a", "b"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    texts = may_contain(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    texts = stage(may_contain(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"), "minhash-texts")
     kind = docs.schema[id_col].dataType.simpleString()
-    both = pairs.join(one, "a").join(two, "b").select("b", "ca", "cb", "text_a", "text_b")
+    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    dealt, parts = salted(pairs, "b", "sb")
+    two = copies(two, parts, "b", "sb")
+    if hot:
+        dealt, parts = salted(stage(dealt, "minhash-dealt"), "a", "sa")
+        both = dealt.join(two, ["b", "sb"]).join(copies(one, parts, "a", "sa"), ["a", "sa"])
+    else:
+        both = dealt.join(two, ["b", "sb"]).join(one, "a")
+    both = both.select("b", "ca", "cb", "text_a", "text_b")
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -147,7 +179,7 @@ def bin_counts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, widt
         for b in slices(batches):
             out = []
             for t in b.column("text").to_pylist():
-                n = np.bincount((shingle_hashes(words_of(t), width, known) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                n = np.bincount((shingle_hashes(word_hashes(t, known)[0], width) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
                 out.append(n.astype(np.uint8).tobytes() if n.max() < 256 else None)
             yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(out, pa.binary())], ["rep", "bins"])
 
@@ -196,9 +228,10 @@ def across(member: DataFrame, kind: str, percent: int) -> DataFrame:
         if held is not None and len(held) > 1:
             yield pairs(held)
 
-    sizes = member.groupBy("band", "value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = stage(member.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")), "minhash-sizes")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    cells = member.join(sizes, ["band", "value"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = spread_join(member, sizes, ["band", "value"], "size").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "c", "bins")
     return cells.repartition(*groups).sortWithinPartitions(*groups).mapInPandas(run, f"a {kind}, b {kind}, ca {kind}, cb {kind}")
 
@@ -212,8 +245,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = rows.where("class is not null and id is not null")
     classes = stage(full.groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
     buckets = classes.select("rep", "n", F.posexplode("bands").alias("band", "value"))
-    hubs = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "value")
-    open_ = buckets.join(hubs, ["band", "value"]).select("band", "value", "rep", "n")
+    hubs = stage(buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "minhash-buckets")
+    open_ = spread_join(buckets, hubs, ["band", "value"], "size").where("size is not null").select("band", "value", "rep", "n")
     found = classes.select("rep", F.col("rep").alias("c"))
     near = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)  # noqa: E731  sizes that the similarity allows
     bucket = ["band", "value"]
@@ -221,16 +254,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # Members of buckets that still hold several components, with these.
         member = stage(open_.join(found, "rep"), "minhash-members")
         order = F.xxhash64("rep", F.lit(k)) if k else F.col("rep")
-        heads = member.groupBy(*bucket).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("rep", "n", "c"), order).alias("hub")).where("c0 < c1")
-        member = stage(member.join(heads.select(*bucket, "hub"), bucket), "minhash-open")
+        heads = member.groupBy(*bucket).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("rep", "n", "c"), order).alias("hub"), F.count(F.lit(1)).alias("size")).where("c0 < c1")
+        heads = stage(heads.select(*bucket, "hub", "size"), "minhash-heads")
+        member = stage(spread_join(member, heads, bucket, "size").where("size is not null").drop("size"), "minhash-open")
         if member.isEmpty():
             break
         if k < ROUNDS:
             pairs = member.where((F.col("c") != F.col("hub.c")) & near(F.col("n"), F.col("hub.n"))).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.col("c").alias("ca"), F.col("hub.c").alias("cb"))
         else:
             counts = bin_counts(docs, member.select("rep").distinct(), id_col, text_col, width)
-            pairs = across(member.select(*bucket, "rep", "n", "c").join(counts, "rep"), kind, percent)
-        links = stage(confirmed(stage(pairs.distinct(), "minhash-pairs"), docs, id_col, text_col, width, percent), "minhash-links")
+            pairs = across(stage(member.select(*bucket, "rep", "n", "c").join(counts, "rep"), "minhash-bins"), kind, percent)
+        links = stage(confirmed(stage(pairs.distinct(), "minhash-pairs"), docs, id_col, text_col, width, percent, k == ROUNDS), "minhash-links")
         joined = components(links)
         found = stage(found.join(joined.withColumnRenamed("node", "c"), "c", "left").select("rep", F.coalesce("component", "c").alias("c")), "minhash-components")
         open_ = member.select(*bucket, "rep", "n")

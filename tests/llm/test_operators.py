@@ -436,6 +436,20 @@ def test_embedding_tables_hold_recall_at_every_size():
         assert met.mean() >= 0.98 and 2 ** (size - k) <= 1 << 15
 
 
+def test_embedding_tables_of_long_vectors():
+    """768 components: tables for 10**6 and 10**8 rows a label, and the bits that pairs may differ in."""
+    r = np.random.default_rng(14)
+    x = embedding_dedup.unit(r.normal(size=(1200, 768)))
+    q = embedding_dedup.Quantiser(x, rounds=3)
+    a, b = embedding_dedup.partners(x, 0.93, 1000, seed=98)
+    for rows in (10**6, 10**8):
+        k, n = embedding_dedup.plan_tables(rows, q, x)
+        met = (q.bits(a, k * n) == q.bits(b, k * n)).reshape(len(a), n, k).all(axis=2).any(axis=1)
+        assert met.mean() >= 0.98 and k > 8
+    differ = (q.bits(a, embedding_dedup.FILTER) != q.bits(b, embedding_dedup.FILTER)).sum(axis=1)
+    assert (differ <= embedding_dedup.most_bits(q, x)).mean() >= 0.999
+
+
 def test_embedding_dedup_by_tables(spark, monkeypatch):
     """Each label has tables of its own width; pairs just above the threshold are found by them."""
     monkeypatch.setattr(embedding_dedup, "ROW", 1)
