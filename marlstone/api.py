@@ -48,7 +48,8 @@ def collect_range(nodes: DataFrame, index: DataFrame, start: int, end: int, dige
     """What a chunk holds: the first ledger's whole state, each later ledger's difference, all transactions. A wrong index raises."""
     if end <= start:
         raise ValueError("a range ends after it starts")
-    index = index.where(F.col("ledger_seq").between(start, end))
+    nodes = stage(trie.distinct_nodes(nodes), "export-nodes")
+    index = stage(index.where(F.col("ledger_seq").between(start, end)), "export-index")
     if index.count() != end - start + 1:
         raise ValueError("the index lacks ledgers of the range")
     verify.require(check_index(index, digest))
@@ -70,7 +71,8 @@ def read_chunk(spark: SparkSession, path: str) -> Range:
     head = part("chunk").collect()
     if len(head) != 1:
         raise ValueError("one chunk at a time")
-    return Range(part("header"), part("checkpoint"), part("delta"), part("tx"), head[0]["start_ledger"], head[0]["end_ledger"])
+    # Each section is one pass over the file, with its digest; it is read several times from here on.
+    return Range(*(stage(part(s), f"chunk-{s}") for s in ("header", "checkpoint", "delta", "tx")), head[0]["start_ledger"], head[0]["end_ledger"])
 
 
 def state_roots(r: Range) -> DataFrame:
@@ -134,6 +136,16 @@ def write_lake(r: Range, path: str, chunk: int = 1_000_000) -> None:
     r.checkpoint.withColumn("ledger_seq", F.lit(r.start).cast("bigint")).sortWithinPartitions("hash").write.mode("append").parquet(f"{path}/checkpoint")
 
 
+def lake_state(spark: SparkSession, path: str, ledger: int, chunk: int = 1_000_000) -> DataFrame:
+    """hash, node_type, content, since: the nodes that live at a ledger, from the native layout. Folders and row groups after it are not read."""
+    first = spark.read.parquet(f"{path}/checkpoint").where(F.col("ledger_seq") <= ledger)
+    start = first.agg(F.max("ledger_seq")).collect()[0][0]
+    if start is None:
+        raise ValueError(f"no checkpoint at or before ledger {ledger}")
+    after = F.col("chunk").between(start // chunk * chunk, ledger // chunk * chunk) & F.col("ledger_seq").between(start + 1, ledger)
+    return history.replay(first.where(F.col("ledger_seq") == start), spark.read.parquet(f"{path}/delta").where(after), start)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a manifest's list of chunks."""
     whole = spark.read.option("multiLine", True).json(path)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import children
 from ..types import INNER
 
+#: Ledgers that one task carries a root through.
+SPAN = 100_000
+
 
 def changes(checkpoint: DataFrame, delta: DataFrame, start: int) -> DataFrame:
     """The checkpoint as additions at start, and the deltas; a hash that a ledger both deletes and adds is added."""
@@ -50,6 +53,11 @@ def roots(delta: DataFrame, ledgers: DataFrame, checkpoint_root: bytes | None =
     found = root_candidates(delta).groupBy("ledger_seq").agg(F.count(F.lit(1)).alias("n"), F.max("hash").alias("own"))
     rows = ledgers.select("ledger_seq").distinct().join(found, "ledger_seq", "left")
     own = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several roots at ledger "), F.col("ledger_seq").cast("string"))).cast("binary")).otherwise(F.col("own"))
-    w = Window.orderBy("ledger_seq").rowsBetween(Window.unboundedPreceding, 0)  # one row per ledger of the range
     seed = F.lit(bytearray(checkpoint_root)) if checkpoint_root else F.lit(None).cast("binary")
-    return rows.withColumn("own", own).select("ledger_seq", F.coalesce(F.last("own", ignorenulls=True).over(w), seed).alias("root"))
+    # Carried on within spans of ledgers, and from span to span, so that no task sees all ledgers.
+    rows = rows.withColumn("own", own).withColumn("span", F.floor(F.col("ledger_seq") / SPAN))
+    upto = Window.partitionBy("span").orderBy("ledger_seq").rowsBetween(Window.unboundedPreceding, 0)
+    spans = rows.groupBy("span").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("ledger_seq"))).alias("last"))
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # one row per SPAN ledgers
+    spans = spans.select("span", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    return rows.join(spans, "span").select("ledger_seq", F.coalesce(F.last("own", ignorenulls=True).over(upto), "carried", seed).alias("root"))

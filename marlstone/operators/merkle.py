@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import HEX, Digest, common_prefix, inner_hash, path_of, raw, sha512half
-from ..staging import stage
+from ..staging import stage, unstage
 from ..types import INNER, TX_META, ZERO_HASH
 
 SHARD = 3
@@ -52,9 +52,10 @@ def _level(kids: DataFrame, groups: list[str], depth: int, digest: Digest) -> Da
 def build_trie(items: DataFrame, groups: list[str], digest: Digest = sha512half, nodes: bool = True) -> Trie:
     """items: groups, key (binary), leaf_hash. Groups without items have no row; their root is the zero hash.
 
-    nodes=False leaves the inner nodes but the roots unwritten, where only roots are asked for.
+    nodes=False keeps no inner nodes but the roots, where only roots are asked for.
     """
-    leaves = stage(place_leaves(items.select(*groups, "key", "leaf_hash"), groups), "trie-leaves")
+    # A folder for each depth: a level reads its own leaves alone.
+    leaves = stage(place_leaves(items.select(*groups, "key", "leaf_hash"), groups), "trie-leaves", by=("depth",))
     deepest = leaves.agg(F.max("depth")).collect()[0][0]
     levels, level = [], None
     for d in range(-1 if deepest is None else deepest, -1, -1):
@@ -62,17 +63,17 @@ def build_trie(items: DataFrame, groups: list[str], digest: Digest = sha512half,
         kids = leaves.where(F.col("depth") == d).select(*groups, *at("path"), F.col("leaf_hash").alias("h"))
         if level is not None:
             kids = kids.unionByName(level.select(*groups, *at("prefix"), F.col("hash").alias("h")))
-        level = _level(kids, groups, d, digest)
+        below, level = level, stage(_level(kids, groups, d, digest), "trie-level")
         if nodes:
-            level = stage(level, "trie-level")
-        levels.append(level)
+            levels.append(level)
+        elif below is not None:
+            unstage(below)
     if level is None:
         level = _level(leaves.select(*groups, F.col("path").alias("prefix"), F.col("path").alias("slot"), F.col("leaf_hash").alias("h")), groups, 0, digest)
-        levels = [level]
-    inner = levels[0]
-    for x in levels[1:] if nodes else []:
+    inner = level
+    for x in levels[:-1]:
         inner = inner.unionByName(x)
-    return Trie(level.select(*groups, F.col("hash").alias("root")), inner if nodes else level, leaves)
+    return Trie(level.select(*groups, F.col("hash").alias("root")), inner, leaves)
 
 
 def tx_items(tx: DataFrame, digest: Digest = sha512half) -> DataFrame:

@@ -32,25 +32,29 @@ def _kids(rows: DataFrame) -> DataFrame:
 
 
 def reachable(nodes: DataFrame, roots: DataFrame, groups: list[str], tolerate_missing: bool = False) -> DataFrame:
-    """groups, hash, node_type, content, level: all nodes under each group's root; a missing one raises unless tolerated."""
+    """groups, hash, node_type, content, level: all nodes under each group's root; a missing one raises unless tolerated.
+
+    nodes: one row per hash, a written table, as each level reads it. A hash refers to none above it,
+    so a level is deduplicated by itself; one that hangs in several depths keeps its least level.
+    """
     frontier = roots.select(*groups, F.col("root").alias("hash")).where("hash is not null and hash <> unhex(repeat('00', 32))").distinct()
-    seen: DataFrame | None = None
-    level = 0
     held = nodes.select("hash", "node_type", "content")
+    levels: list[DataFrame] = []
     while True:
         found = frontier.join(held, "hash", "left")
         if tolerate_missing:
             found = found.where("content is not null")
         else:
             found = found.withColumn("content", F.coalesce("content", F.raise_error(F.concat(F.lit("node not found: "), F.lower(F.hex("hash")))).cast("binary")))
-        found = stage(found.withColumn("level", F.lit(level)), "reachable")
-        if found.isEmpty():
+        found = stage(found.withColumn("level", F.lit(len(levels))), "reachable")
+        if levels and found.isEmpty():
             break
-        seen = found if seen is None else seen.unionByName(found)
-        kids = _kids(found.where(is_inner(F.col("node_type")))).select(*groups, F.explode(F.filter("kids", lambda h: h.isNotNull())).alias("hash"))
-        frontier = kids.distinct().join(seen.select(*groups, "hash"), [*groups, "hash"], "left_anti")
-        level += 1
-    return found if seen is None else seen
+        levels.append(found)
+        frontier = _kids(found.where(is_inner(F.col("node_type")))).select(*groups, F.explode(F.filter("kids", lambda h: h.isNotNull())).alias("hash")).distinct()
+    whole = levels[0]
+    for x in levels[1:]:
+        whole = whole.unionByName(x)
+    return whole.groupBy(*groups, "hash").agg(F.min_by(F.struct("node_type", "content", "level"), "level").alias("x")).select(*groups, "hash", "x.*")
 
 
 def transactions(nodes: DataFrame, roots: DataFrame, groups: list[str]) -> DataFrame:
@@ -61,11 +65,8 @@ def transactions(nodes: DataFrame, roots: DataFrame, groups: list[str]) -> DataF
     return leaves.select(*groups, tx_leaf_read(F.col("content")).alias("t")).select(*groups, "t.tx_hash", "t.tx_blob", "t.meta_blob")
 
 
-def raw_diff(nodes: DataFrame, pairs: DataFrame, groups: list[str]) -> DataFrame:
-    """groups, op, hash, node_type, content. pairs: groups, old, new (null: no tree). Slots are walked together; equal hashes end the walk.
-
-    A hash may come out both added and deleted, where a leaf moved to another depth; see net().
-    """
+def _walk(nodes: DataFrame, pairs: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, op, hash, node_type, content of both sides of each pair of nodes that is met; rows may repeat."""
     held = nodes.select("hash", "node_type", "content")
     zero = F.unhex(F.lit("00" * 32))
     frontier = pairs.select(*groups, F.nullif("old", zero).alias("old"), F.nullif("new", zero).alias("new")).where("not (old <=> new)")
@@ -77,30 +78,37 @@ def raw_diff(nodes: DataFrame, pairs: DataFrame, groups: list[str]) -> DataFrame
         # What is added must be there; what is deleted may be gone.
         both = both.withColumn("n", F.when(F.col("new").isNotNull() & F.col("n").isNull(), F.raise_error(F.concat(F.lit("node not found: "), F.lower(F.hex("new")))).cast(both.schema["n"].dataType)).otherwise(F.col("n")))
         both = stage(both, "diff")
-        if both.isEmpty():
+        if out and both.isEmpty():
             break
         out.append(both)
         none = F.array_repeat(F.lit(None).cast("binary"), 16)
         kids = lambda x: F.coalesce(children(F.col(f"{x}.node_type"), F.col(f"{x}.content")), none)
         slots = both.select(*groups, F.explode(F.arrays_zip(kids("o").alias("old"), kids("n").alias("new"))).alias("s")).select(*groups, "s.*").toDF(*groups, "old", "new")
         frontier = slots.where("not (old <=> new)").distinct()
-    made = [both, *out]
-    add = [x.where("new is not null").select(*groups, F.lit("add").alias("op"), F.col("new").alias("hash"), "n.node_type", "n.content") for x in made]
-    gone = [x.where("old is not null").select(*groups, F.lit("del").alias("op"), F.col("old").alias("hash"), "o.node_type", "o.content") for x in made]
-    whole = add[0]
-    for x in [*add[1:], *gone]:
+    whole = out[0]
+    for x in out[1:]:
         whole = whole.unionByName(x)
-    return whole.distinct()
+    side = lambda op, h, c: F.struct(F.lit(op).alias("op"), F.col(h).alias("hash"), F.col(f"{c}.node_type").alias("node_type"), F.col(f"{c}.content").alias("content"))
+    return whole.select(*groups, F.explode(F.array(side("add", "new", "n"), side("del", "old", "o"))).alias("s")).select(*groups, "s.*").where("hash is not null")
+
+
+def raw_diff(nodes: DataFrame, pairs: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, op, hash, node_type, content. pairs: groups, old, new (null: no tree). Slots are walked together; equal hashes end the walk.
+
+    nodes: one row per hash, a written table, as each level reads it. A hash may come out both
+    added and deleted, where a leaf moved to another depth; see net().
+    """
+    return _walk(nodes, pairs, groups).dropDuplicates([*groups, "op", "hash"])
 
 
 def net(delta: DataFrame, groups: list[str]) -> DataFrame:
-    """delta without the hashes that a group both adds and deletes: the difference of the two sets."""
-    kinds = delta.select(*groups, "hash", "op").distinct().groupBy(*groups, "hash").agg(F.count(F.lit(1)).alias("c")).where("c = 1")
-    return delta.dropDuplicates([*groups, "hash", "op"]).join(kinds.select(*groups, "hash"), [*groups, "hash"])
+    """delta without the hashes that a group both adds and deletes: the difference of the two sets. One row per group and hash."""
+    each = delta.groupBy(*groups, "hash").agg(F.min("op").alias("op"), F.max("op").alias("other"), F.first(F.struct("node_type", "content")).alias("x"))
+    return each.where("op = other").select(*groups, "op", "hash", "x.node_type", "x.content")
 
 
 def diff(nodes: DataFrame, pairs: DataFrame, groups: list[str]) -> DataFrame:
-    return net(raw_diff(nodes, pairs, groups), groups)
+    return net(_walk(nodes, pairs, groups), groups)
 
 
 def set_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

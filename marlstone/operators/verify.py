@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import Digest, children, inner_hash, is_inner, ledger_hash, sha512half, tx_id
-from ..types import INNER
+from ..functions.expr import Digest, children, children_compressed, inner_content, inner_hash, is_inner, ledger_hash, sha512half, tx_id
+from ..types import INNER, INNER_COMPRESSED
 
 
 def _row(check: str, ledger: Column, hash_: Column, expected: Column, got: Column) -> list[Column]:
@@ -23,10 +23,10 @@ def tx_ids(tx: DataFrame, digest: Digest = sha512half) -> DataFrame:
 
 
 def node_hashes(nodes: DataFrame, digest: Digest = sha512half, leaves: bool = True) -> DataFrame:
-    """Each node's hash is that of its content: of inner nodes with their prefix, of leaves plain."""
-    got = F.when(F.col("node_type") == INNER, inner_hash(F.col("content"), digest)).otherwise(digest(F.col("content")))
-    rows = nodes if leaves else nodes.where(F.col("node_type") == INNER)
-    rows = rows.where(F.col("node_type") != 3)
+    """Each node's hash is that of its content: of inner nodes with their prefix, compressed ones in full form, of leaves plain."""
+    full = inner_content(children_compressed(F.col("content")))
+    got = F.when(F.col("node_type") == INNER, inner_hash(F.col("content"), digest)).when(F.col("node_type") == INNER_COMPRESSED, inner_hash(full, digest)).otherwise(digest(F.col("content")))
+    rows = nodes if leaves else nodes.where(is_inner(F.col("node_type")))
     ledger = F.col("ledger_seq") if "ledger_seq" in nodes.columns else F.lit(None)
     return rows.where(~got.eqNullSafe(F.col("hash"))).select(*_row("node_hash", ledger, F.col("hash"), got, F.col("hash")))
 

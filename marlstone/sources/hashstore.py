@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
@@ -42,33 +43,59 @@ class KeyFile:
         self.path, self.salt, self.block = path, int.from_bytes(h[28:36], "big"), int.from_bytes(h[44:46], "big")
         if not self.block:
             raise StoreError(f"block size is zero: {path}")
-        self.buckets = (os.path.getsize(path) - self.block) // self.block
+        size = os.path.getsize(path)
+        if size < self.block or size % self.block:
+            raise StoreError(f"a bucket is cut short: {path}")
+        self.buckets = size // self.block - 1
 
 
 def entries(body: bytes) -> tuple[list[tuple[int, int, int]], int]:
     """(offset, size, hash prefix) of a bucket, and where it spills to."""
     n = int.from_bytes(body[:2], "big")
+    if len(body) < BUCKET_HEAD + n * ENTRY:
+        raise StoreError("a bucket is cut short")
     cut = lambda at: int.from_bytes(body[at : at + 6], "big")
     return [(cut(b), cut(b + 6), cut(b + 12)) for b in range(BUCKET_HEAD, BUCKET_HEAD + n * ENTRY, ENTRY)], cut(2)
 
 
+def _exactly(f: BinaryIO, n: int, what: str) -> bytes:
+    got = f.read(n)
+    if len(got) < n:
+        raise StoreError(f"{what} is cut short: {f.name}")
+    return got
+
+
 def read_buckets(dat: str, key: KeyFile, first: int, last: int) -> Iterator[tuple[bytes, bytes, int]]:
-    """(hash, value, bucket) of the buckets first to last - 1, through their spills."""
-    with open(key.path, "rb") as k, open(dat, "rb") as d:
+    """(hash, value, bucket) of the buckets first to last - 1, through their spills; records in the order of the file.
+
+    What is cut short, a spill that comes back to itself, and a record that is not its entry's raise.
+    """
+    import xxhash
+
+    with open(key.path, "rb", buffering=1 << 20) as k, open(dat, "rb", buffering=1 << 20) as d:
+        if d.read(8) != DAT_MAGIC:
+            raise StoreError(f"not a data file: {dat}")
+        found: list[tuple[int, int, int, int]] = []
         for bucket in range(first, last):
             k.seek(key.block * (bucket + 1))
-            body = k.read(key.block)
-            while True:
-                found, spill = entries(body)
-                for offset, size, _ in found:
-                    d.seek(offset)
-                    record = d.read(6 + KEY_SIZE + size)
-                    yield record[6 : 6 + KEY_SIZE], record[6 + KEY_SIZE :], bucket
-                if not spill:
-                    break
+            own, spill = entries(_exactly(k, key.block, "a bucket"))
+            found += [(*e, bucket) for e in own]
+            seen = set()
+            while spill:
+                if spill in seen:
+                    raise StoreError(f"spills run in a circle: {dat}")
+                seen.add(spill)
                 d.seek(spill)
-                head = d.read(BUCKET_HEAD)
-                body = head + d.read(int.from_bytes(head[:2], "big") * ENTRY)
+                head = _exactly(d, BUCKET_HEAD, "a spill")
+                own, spill = entries(head + _exactly(d, int.from_bytes(head[:2], "big") * ENTRY, "a spill"))
+                found += [(*e, bucket) for e in own]
+        for offset, size, prefix, bucket in sorted(found):
+            d.seek(offset)
+            record = _exactly(d, 6 + KEY_SIZE + size, "a record")
+            hash_ = record[6 : 6 + KEY_SIZE]
+            if int.from_bytes(record[:6], "big") != size or xxhash.xxh64_intdigest(hash_, key.salt) >> 16 != prefix:
+                raise StoreError(f"a record is not that of its entry: {dat}")
+            yield hash_, record[6 + KEY_SIZE :], bucket
 
 
 def scan_records(dat: str) -> Iterator[tuple[bytes, bytes]]:
