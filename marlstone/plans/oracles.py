@@ -125,5 +125,22 @@ SELECT doc_id, n, lower(hex({S.vl('n')})) AS prefix, CAST(CASE WHEN n <= 192 THE
 sums AS (SELECT ledger_seq, count(*) FILTER (op = 'add') AS added, count(*) FILTER (op = 'del') AS deleted FROM ndelta GROUP BY 1)
 SELECT hd.ledger_seq, ledger_hash, coalesce(added, 0) AS added, coalesce(deleted, 0) AS deleted, coalesce(t.n, 0) AS txns, drops
 FROM hd LEFT JOIN sums ON sums.ledger_seq = hd.ledger_seq LEFT JOIN (SELECT ledger_seq, count(*) AS n FROM tx GROUP BY 1) t ON t.ledger_seq = hd.ledger_seq""",
-        "range_violations": 'SELECT \'none\' AS "check", CAST(0 AS BIGINT) AS n WHERE false',
+        "range_violations": f"""{state}, c AS (SELECT count(*) FILTER (ledger_seq = 7) AS seven, count(*) FILTER (ledger_seq = {LAST}) AS last FROM delta WHERE op = 'add')
+SELECT x AS "check", CAST(k AS BIGINT) AS n FROM c, LATERAL (SELECT unnest(['tx_id', 'node_hash', 'state_root', 'ledger_hash', 'checkpoint_root', 'missing_header', 'closure']) AS x, unnest([1, seven, 1, 3, 1, 1, last]) AS k)""",
+        "range_is_clean": "SELECT CAST(0 AS BIGINT) AS violations",
+        "index_violations": f"""{_headers()},
+bad AS (SELECT * REPLACE (drops + CASE WHEN ledger_seq = 9 THEN 1 ELSE 0 END AS drops, CASE WHEN ledger_seq = 20 THEN sha256(unhex(parent_hash)) ELSE parent_hash END AS parent_hash), parent_hash AS before FROM hd),
+made AS (SELECT *, {S.ledger_hash('parent_hash')} AS made FROM bad)
+SELECT 'ledger_hash' AS "check", ledger_seq, ledger_hash AS hash, made AS expected, ledger_hash AS got FROM made WHERE made <> ledger_hash
+UNION ALL SELECT 'parent_hash', ledger_seq, parent_hash, before, parent_hash FROM made WHERE before <> parent_hash""",
+        "chunk_link_violations": f"""{_headers()}
+SELECT 'chunk_gap' AS "check", CAST(20 AS BIGINT) AS ledger_seq, CAST(NULL AS VARCHAR) AS hash, CAST(NULL AS VARCHAR) AS expected, CAST(NULL AS VARCHAR) AS got
+UNION ALL SELECT 'checkpoint_hash', ledger_seq, sha256(unhex(ledger_hash)), ledger_hash, sha256(unhex(ledger_hash)) FROM hd WHERE ledger_seq = 10""",
+        "store_roundtrip": f"WITH {S.STATE},\n{S.STATE_ITEMS},\n{S.trie(content=True)} SELECT DISTINCT h AS hash, CAST(2 AS BIGINT) AS node_type, c AS content_sha256 FROM part WHERE g = {LAST} UNION ALL SELECT DISTINCT h, 1, h FROM leaf WHERE g = {LAST}",
+        "export_import": f"""WITH {S.both_tries(True)}
+SELECT DISTINCT h AS hash, CAST(2 AS BIGINT) AS node_type, c AS content_sha256 FROM (SELECT h, c FROM parts WHERE g = {LAST} UNION ALL SELECT h, c FROM partt)
+UNION ALL SELECT DISTINCT h, 1, h FROM leafs WHERE g = {LAST} UNION ALL SELECT DISTINCT h, 4, h FROM leaft""",
+        "lake_state": f"WITH {S.STATE},\n{S.STATE_ITEMS},\n{S.trie(content=True)} SELECT DISTINCT h AS hash, CAST(2 AS BIGINT) AS node_type, c AS content_sha256 FROM part WHERE g = 15 UNION ALL SELECT DISTINCT h, 1, h FROM leaf WHERE g = 15",
+        "digest_vectors": """SELECT * FROM (VALUES ('abc', 'ddaf35a193617abacc417349ae20413112e6fa4e89a97ea20a9eeee64b55d39a'), ('', 'cf83e1357eefb8bdf1542850d66d8007d620e4050b5715dc83f4a921d36ce9ce'),
+  ('abcdefghbcdefghicdefghijdefghijkefghijklfghijklmghijklmnhijklmnoijklmnopjklmnopqklmnopqrlmnopqrsmnopqrstnopqrstu', '8e959b75dae313da8cf4f72814fc143f8f7779c6eb9f7fa17299aeadb6889018')) t(message, digest)""",
     }

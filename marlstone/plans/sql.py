@@ -40,8 +40,9 @@ def lcp(a: str, b: str) -> str:
     return f"(list_position([substr({a}, i, 1) <> substr({b}, i, 1) FOR i IN range(1, 65)], true) - 1)"
 
 
-def trie(name: str = "") -> str:
-    """From items (g, path, h): leaf{name} with depth, lv{name}{d} (g, p, h), part{name} (g, d, p, h), root{name} (g, h)."""
+def trie(name: str = "", content: bool = False) -> str:
+    """From items (g, path, h): leaf{name} with depth, lv{name}{d} (g, p, h), part{name} (g, d, p, h), root{name} (g, h). content: with c, the SHA-256 of a node's content."""
+    own_content, kept = (", sha256(unhex({slots})) AS c", ", c") if content else ("", "")
     slots = " || ".join(f"coalesce(max(CASE WHEN s = '{x}' THEN h END), {ZERO})" for x in HEX)
     out = f"""near{name} AS (SELECT *, lag(path) OVER w AS a, lead(path) OVER w AS b FROM items WINDOW w AS (PARTITION BY g ORDER BY path)),
 leaf{name} AS MATERIALIZED (SELECT g, path, h, greatest(coalesce({lcp('path', 'a')}, 0), coalesce({lcp('path', 'b')}, 0)) AS depth FROM near{name})"""
@@ -52,8 +53,8 @@ leaf{name} AS MATERIALIZED (SELECT g, path, h, greatest(coalesce({lcp('path', 'a
             own = f"SELECT g, substr(path, 1, {d}) AS p, substr(path, {d + 1}, 1) AS s, CASE WHEN depth > {d} THEN error('trie too deep') ELSE h END AS h FROM leaf{name} WHERE depth >= {d}"
         else:
             own += f" UNION ALL SELECT g, substr(p, 1, {d}), substr(p, {d + 1}, 1), h FROM lv{name}{d + 1}"
-        out += f",\nlv{name}{d} AS MATERIALIZED (SELECT g, p, sha256(unhex('4d494e00' || {slots})) AS h FROM ({own}) GROUP BY g, p)"
-    every = " UNION ALL ".join(f"SELECT g, {d} AS d, p, h FROM lv{name}{d}" for d in range(DEEPEST + 1))
+        out += f",\nlv{name}{d} AS MATERIALIZED (SELECT g, p, sha256(unhex('4d494e00' || {slots})) AS h{own_content.format(slots=slots)} FROM ({own}) GROUP BY g, p)"
+    every = " UNION ALL ".join(f"SELECT g, {d} AS d, p, h{kept} FROM lv{name}{d}" for d in range(DEEPEST + 1))
     return out + f",\npart{name} AS (SELECT * FROM ({every})),\nroot{name} AS (SELECT g, h FROM lv{name}0)"
 
 
@@ -73,7 +74,7 @@ def ledger_hash(parent: str, p: str = "", drops: str | None = None) -> str:
     return f"sha256(unhex('4c575200') || {be(p + 'ledger_seq', 4)} || {be(drops or p + 'drops', 8)} || unhex({parent}) || unhex({p}tx_root) || unhex({p}account_hash) || {be(f'({p}ledger_seq * 86400)', 4)} || {be(f'(({p}ledger_seq + 1) * 86400)', 4)} || unhex('0a00'))"
 
 
-def both_tries() -> str:
+def both_tries(content: bool = False) -> str:
     """ev, tx, st and the tries of both, roott and roots."""
     state = STATE.split(",\n", 1)[1]
-    return f"{TX},\n{state},\n{TX_ITEMS.replace('items AS', 'itemst AS')},\n{trie('t').replace('FROM items ', 'FROM itemst ')},\n{STATE_ITEMS.replace('items AS', 'itemss AS')},\n{trie('s').replace('FROM items ', 'FROM itemss ')}"
+    return f"{TX},\n{state},\n{TX_ITEMS.replace('items AS', 'itemst AS')},\n{trie('t', content).replace('FROM items ', 'FROM itemst ')},\n{STATE_ITEMS.replace('items AS', 'itemss AS')},\n{trie('s', content).replace('FROM items ', 'FROM itemss ')}"
