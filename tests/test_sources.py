@@ -166,6 +166,81 @@ def test_store_files_that_are_none(tmp_path):
         list(hashstore.scan_records(str(tmp_path / "x.dat")))
 
 
+def test_stores_that_are_cut_or_altered(spark, tmp_path):
+    """Whatever a store lacks raises, be it in a bucket, a spill or a record; nothing is read as less."""
+    keys = [i.to_bytes(4, "big") * 8 for i in range(700)]
+    dat, key = hashstore.write_store(entries(spark, [(k, k[:5]) for k in keys]), str(tmp_path), buckets=2)
+    whole, buckets = open(dat, "rb").read(), open(key, "rb").read()
+    read = lambda: list(hashstore.read_buckets(dat, hashstore.KeyFile(key), 0, 2))
+    assert len(read()) == 700
+
+    def altered(path, data):
+        before = open(path, "rb").read()
+        open(path, "wb").write(data)
+        try:
+            with pytest.raises(hashstore.StoreError):
+                read()
+        finally:
+            open(path, "wb").write(before)
+
+    for n in (1, 150, len(whole) // 2, len(whole) - 100):
+        altered(dat, whole[: len(whole) - n])
+    for n in (1, hashstore.BLOCK - 1, hashstore.BLOCK + 7):
+        altered(key, buckets[: len(buckets) - n])
+    at = hashstore.DAT_HEADER
+    altered(dat, whole[: at + 5] + b"\6" + whole[at + 6 :])  # a record's size
+    altered(dat, whole[: at + 6] + bytes([whole[at + 6] ^ 1]) + whole[at + 7 :])  # its key
+    full = hashstore.BLOCK
+    altered(key, buckets[:full] + (300).to_bytes(2, "big") + buckets[full + 2 :])  # more entries than a bucket has
+    _, spill = hashstore.entries(buckets[full : 2 * full])
+    loop = whole[: spill + 2] + spill.to_bytes(6, "big") + whole[spill + 8 :]
+    altered(dat, loop)
+    register(spark)
+    open(dat, "wb").write(whole[:-150])
+    with pytest.raises(Exception, match="cut short"):
+        spark.read.format("hashstore").option("path", dat).load().collect()
+
+
+def test_compressed_inner_nodes_are_checked(spark):
+    h = half(b"x")
+    full = bytes(32 * 3) + h + bytes(32 * 12)
+    rows = [(b(half(b"MIN\0" + full)), 3, b(h + b"\3")), (b(h), 3, b(h + b"\3"))]
+    found = verify.node_hashes(spark.createDataFrame(rows, NODE)).collect()
+    assert [r.hash for r in found] == [h.hex()] and found[0].expected == half(b"MIN\0" + full).hex()
+
+
+def test_state_from_the_native_layout(spark, two, tmp_path):
+    api.write_lake(two, str(tmp_path / "lake"), 1)
+    first = {bytes(r.hash) for r in api.lake_state(spark, str(tmp_path / "lake"), 100, 1).collect()}
+    assert first == {bytes(r.hash) for r in two.checkpoint.collect()}
+    last = {bytes(r.hash) for r in api.lake_state(spark, str(tmp_path / "lake"), 101, 1).collect()}
+    assert last == {bytes(r.hash) for r in two.delta.where("op = 'add'").collect()}
+    with pytest.raises(ValueError, match="no checkpoint"):
+        api.lake_state(spark, str(tmp_path / "lake"), 99, 1)
+
+
+def test_command_line(spark, two, tmp_path, capsys):
+    from marlstone.__main__ import main
+
+    path, _ = written(two, tmp_path)
+    main(["inspect", path, "--ledger", "101"])
+    main(["import", path, "--store", str(tmp_path / "store")])
+    out = capsys.readouterr().out
+    assert bytes(two.tx.where("ledger_seq = 101").collect()[0].tx_hash).hex() in out and "6 nodes" in out
+    assert (tmp_path / "store" / "store.dat").exists()
+
+
+def test_roots_are_carried_over_spans(spark, monkeypatch):
+    from marlstone.operators import history
+
+    monkeypatch.setattr(history, "SPAN", 3)
+    adds = {2: inner(1, b"\1" * 32), 9: inner(2, b"\2" * 32)}
+    delta = spark.createDataFrame([(k, "add", b(h), 2, b(c)) for k, (h, c) in adds.items()], DELTA)
+    ledgers = spark.range(14).select(F.col("id").alias("ledger_seq"))
+    found = {r.ledger_seq: bytes(r.root) for r in history.roots(delta, ledgers, b"\7" * 32).collect()}
+    assert found == {k: b"\7" * 32 if k < 2 else adds[2][0] if k < 9 else adds[9][0] for k in range(14)}
+
+
 def test_export_from_stores_and_index(spark, two, tmp_path):
     """Nodes in two stores and headers in an index make the chunk that import reads."""
     roots, tx_nodes = merkle.tx_trie_nodes(two.tx)
