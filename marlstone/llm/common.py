@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..staging import importable, new_folder, shared_folder, stage, unstage
 
-__all__ = ["anti", "asked", "build_filter", "copies", "hashed_sample", "importable", "may_contain", "new_folder", "salted", "shared_folder", "slices", "spread_join", "stage", "table", "text_of", "unstage"]
+__all__ = ["anti", "asked", "build_filter", "copies", "hashed_sample", "importable", "may_contain", "new_folder", "release", "salted", "shared_folder", "slices", "spread_join", "stage", "table", "text_of", "unstage"]
 
 #: A membership filter has FILTER_BITS bits for each key, at most FILTER_MAX_BITS (8 MB in all).
 FILTER_BITS, FILTER_MAX_BITS, BITMAP_BITS = 16, 1 << 26, 32768
@@ -34,7 +35,7 @@ def _sizes(column: pa.Array) -> np.ndarray:
     return np.zeros(len(column), np.int64)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of at most rows rows and most bytes, or of one row, so that what is made of one stays small."""
     for b in batches:
         size = np.cumsum(sum((_sizes(c) for c in b.columns), np.zeros(b.num_rows, np.int64)))
@@ -44,6 +45,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 8 <<
             end = min(at + rows, max(at + 1, int(np.searchsorted(size, before + most, "right"))), b.num_rows)
             yield b.slice(at, end - at)
             at = end
+        pa.default_memory_pool().release_unused()
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what ran before: Spark removes shuffle files and broadcasts when its frames are collected as garbage, here and in its JVM."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def text_of(name: str) -> Column:

@@ -163,12 +163,6 @@ def text_evidence(docs: DataFrame, model: TrigramModel, id_col: str, text_col: s
     return stage(rows.mapInArrow(run, f"id {kind}, declared string, host string, suffix string, ll array<double>, under array<double>, letters long"), "language-text")
 
 
-def _posterior(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    total = sum((F.exp(x - top) for x in logs[1:]), F.exp(logs[0] - top))
-    return [F.exp(x - top) / total for x in logs]
-
-
 def _shares(counts: DataFrame, n: int, key: str, above: Column, weight: float) -> DataFrame:
     """key, docs and p_key: its shares, smoothed towards above, an array, with a weight in documents."""
     total = sum((F.col(f"s{i}") for i in range(1, n)), F.col("s0"))
@@ -215,19 +209,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     fused = spread_join(rows, by_host, ["host"], "docs").drop("docs")
     if own_suffix:  # else rows without a host have no suffix either
         fused = spread_join(fused, by_suffix, ["suffix"], "docs").drop("docs").withColumn("p_host", F.coalesce("p_host", "p_suffix"))
-    fused = fused.withColumn("prior", F.coalesce("p_host", world))
-    logs = []
-    for i in range(n + 1):
-        prior = F.col("prior")[i] * (1 - UNKNOWN) if i < n else F.lit(UNKNOWN)
-        said = F.coalesce(*[F.when(known == d, F.lit(declared_log[d][i])) for d in kinds])
-        logs.append(F.col("ll")[i] + F.log(prior) + F.when(F.col("declared").isNull(), 0.0).otherwise(said))
-    post = fused.select("id", "letters", *[p.alias(f"q{i}") for i, p in enumerate(_posterior(logs))])
-    best = F.greatest(*[f"q{i}" for i in range(n)]) if n > 1 else F.col("q0")
-    unknown = (F.col("letters") > 0) & (F.col(f"q{n}") > best)
-    name = F.when(unknown, "und").otherwise(F.coalesce(*[F.when(F.col(f"q{i}") == best, lang) for i, lang in enumerate(langs)]))
-    kept = (F.col("letters") > 0) & (best >= MIN_POSTERIOR)
-    sure = F.when(unknown, F.col(f"q{n}")).otherwise(best)
-    return post.select(F.col("id").alias(id_col), F.when(F.col("letters") > 0, name).otherwise("und").alias("language"), sure.alias("posterior"), "letters", kept.alias("kept"))
+    # Arrays in the order of languages, unknown text the last.
+    add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+    prior = F.concat(F.transform(F.coalesce("p_host", world), lambda p: F.log(p * (1 - UNKNOWN))), F.array(F.lit(math.log(UNKNOWN))))
+    said = F.when(F.col("declared").isNull(), F.lit([0.0] * (n + 1))).otherwise(F.coalesce(*[F.when(known == d, F.lit(declared_log[d])) for d in kinds]))
+    post = fused.select("id", "letters", add(add(F.col("ll"), prior), said).alias("logs"))
+    post = post.select("id", "letters", F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))).alias("odds"))
+    post = post.select("id", "letters", F.transform("odds", lambda x: x / F.aggregate("odds", F.lit(0.0), lambda p, q: p + q)).alias("q"))
+    post = post.select("id", "letters", F.slice("q", 1, n).alias("q"), F.col("q")[n].alias("none")).withColumn("best", F.array_max("q"))
+    unknown = (F.col("letters") == 0) | (F.col("none") > F.col("best"))
+    name = F.when(unknown, "und").otherwise(F.element_at(F.lit(langs), F.array_position("q", F.col("best")).cast("int")))
+    sure = F.when((F.col("letters") > 0) & unknown, F.col("none")).otherwise(F.col("best"))
+    kept = (F.col("letters") > 0) & (F.col("best") >= MIN_POSTERIOR)
+    return post.select(F.col("id").alias(id_col), name.alias("language"), sure.alias("posterior"), "letters", kept.alias("kept"))
 
 
 def identify_pages(pages: DataFrame, model: TrigramModel) -> DataFrame:

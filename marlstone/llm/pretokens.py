@@ -20,7 +20,7 @@ _S = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: The public pattern of these vocabularies with the white space written out, as \s is ASCII in Java.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Entries of a worker's memory of pieces.
-MEMO = 800_000
+MEMO = 400_000
 
 
 #: Pre-tokens that are looked up at once: what is made of a long text stays small.
