@@ -155,7 +155,7 @@ class Transducer:
 
     def finish(self, state: tuple, rest: bytes) -> list[int]:
         """What is emitted from a state on to the end of a piece, by the nondeterministic machine: nothing is kept for later."""
-        edge, token_at, follows = self.edges.get, self.token_at, self.follows
+        edge, token_at, pairs = self.edges.get, self.token_at, self.pairs
         live = [(node, before, (chain, None)) for node, before, chain in state]
         for x in rest:
             items, last = [], None
@@ -165,8 +165,10 @@ class Transducer:
                     items.append((to, before, path))
                     if last is None:
                         token = token_at[to]
-                        if token >= 0 and follows(before, token):
-                            last = (0, token, ((token,), path))
+                        if token >= 0:
+                            ok = before < 0 or pairs.get(before << 24 | token)
+                            if ok or ok is None and self.follows(before, token):
+                                last = (0, token, ((token,), path))
             if last is None:
                 raise ValueError("a byte is missing from the vocabulary")
             items.append(last)
@@ -329,7 +331,8 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
         t = transducer(path)
         split = regex.compile(public_tokenizers.PATTERN)
-        ids = PieceIds(lambda pieces: [packed([x for p in split.findall(q) for x in t.encode(p.encode())]) for q in pieces], MEMO)
+        each = t.encode
+        ids = PieceIds(lambda pieces: [packed(each(p.encode())) for p in pieces], lambda text: packed([x for p in split.findall(text) for x in each(p.encode())]), MEMO)
         for b in slices(batches):
             tokens, bounds = batch_ids(b.column("__pieces"), b.column("__whole"), ids)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))

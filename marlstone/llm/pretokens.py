@@ -57,13 +57,13 @@ def packed(ids: list[int]) -> bytes:
 
 
 class PieceIds:
-    """Ids of pieces, as packed; encode maps a list of new pieces to them.
+    """Ids of pieces, as packed; encode maps a list of new pieces to them, whole a text that isn't cut.
 
     What was used since the memory was last half full survives when it is full.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = MEMO):
-        self.encode, self.most = encode, most // 2
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], most: int = MEMO):
+        self.encode, self.whole, self.most = encode, whole, most // 2
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -104,7 +104,7 @@ def batch_ids(pieces: pa.ListArray, whole: pa.Array, ids: PieceIds) -> tuple[np.
         counts.append(each)
     tokens, bounds = np.concatenate(parts), np.cumsum(np.concatenate(counts))[offsets]
     if whole.null_count < n:  # rare: put the library's ids of whole texts in their place
-        odd = {i: np.frombuffer(ids.encode([t])[0], np.int32) for i, t in enumerate(whole.to_pylist()) if t is not None}
+        odd = {i: np.frombuffer(ids.whole(t), np.int32) for i, t in enumerate(whole.to_pylist()) if t is not None}
         parts = [odd[i] if i in odd else tokens[bounds[i] : bounds[i + 1]] for i in range(n)]
         tokens, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     return tokens, bounds
@@ -128,4 +128,5 @@ def tokenizer(path: str):
 
 def json_ids(path: str) -> PieceIds:
     t = tokenizer(path)
-    return PieceIds(lambda texts: [packed(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else [])
+    encode = lambda texts: [packed(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    return PieceIds(encode, lambda text: encode([text])[0])
