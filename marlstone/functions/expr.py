@@ -134,21 +134,34 @@ def ledger_hash(h: dict[str, Column], digest: Digest) -> Column:
     )
 
 
+def held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value made once a row: an expression named in a lambda is made again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def children_full(content: Column) -> Column:
     """16 hashes of an inner node's 512 bytes, null where there is none."""
     ok = F.length(content) == 512
-    kids = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.nullif(F.substring(content, i * 32 + 1, F.lit(32)), raw(ZERO_HASH)))
+    kids = held(content, lambda b: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.nullif(F.substring(b, i * 32 + 1, F.lit(32)), raw(ZERO_HASH))))
     return F.when(ok, kids).otherwise(F.raise_error(F.lit("inner node is not 512 bytes")).cast("array<binary>"))
 
 
 def children_compressed(content: Column) -> Column:
-    """The same of (hash, place) records of 33 bytes."""
-    n = (F.length(content) / 33).cast("int")
-    entries = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(unsigned(content, i * 33 + 33, 1).alias("at"), F.nullif(F.substring(content, i * 33 + 1, F.lit(32)), raw(ZERO_HASH)).alias("h")))
-    entries = F.when(n > 0, entries).otherwise(F.array().cast("array<struct<at:bigint,h:binary>>"))
-    ok = (F.length(content) % 33 == 0) & ~F.exists(entries, lambda e: e["at"] > 15)
-    kids = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.try_element_at(F.filter(entries, lambda e: e["at"] == i), F.lit(-1))["h"])
-    return F.when(ok, kids).otherwise(F.raise_error(F.lit("malformed compressed inner node")).cast("array<binary>"))
+    """The same of (hash, place) records of 33 bytes; of several with one place the last counts."""
+    empty = F.array().cast("array<binary>")
+
+    def kids(b: Column) -> Column:
+        n = (F.length(b) / 33).cast("int")
+        places = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(b, i * 33, F.lit(1)))).otherwise(empty)
+        return held(F.struct(n.alias("n"), F.reverse(places).alias("at")), lambda x: slots(b, x))
+
+    def slots(b: Column, x: Column) -> Column:
+        from_end = lambda i: F.array_position(x["at"], raw(bytes([i]))).cast("int")
+        one = lambda at: F.when(at > 0, F.nullif(F.substring(b, (x["n"] - at) * 33 + 1, F.lit(32)), raw(ZERO_HASH)))
+        ok = (F.length(b) % 33 == 0) & ~F.exists(x["at"], lambda p: p > raw(b"\x0f"))
+        return F.when(ok, F.array(*[held(from_end(i), one) for i in range(16)]))
+
+    return F.coalesce(held(content, kids), F.raise_error(F.lit("malformed compressed inner node")).cast("array<binary>"))
 
 
 def children(node_type: Column, content: Column) -> Column:
@@ -163,9 +176,12 @@ def inner_content(kids: Column) -> Column:
 
 def sparse_children(mask: Column, packed: Column) -> Column:
     """16 hashes from a 16-bit mask, the first child's bit the highest, and the hashes that are there."""
-    bit = lambda i: mask.cast("int").bitwiseAND(F.call_function("shiftright", F.lit(32768), i)) != 0
-    rank = lambda i: F.bit_count(F.call_function("shiftrightunsigned", mask.cast("int"), F.lit(16) - i))
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(bit(i), F.substring(packed, rank(i) * 32 + 1, F.lit(32))))
+    def kids(x: Column) -> Column:
+        bit = lambda i: x["mask"].bitwiseAND(F.call_function("shiftright", F.lit(32768), i)) != 0
+        rank = lambda i: F.bit_count(F.call_function("shiftrightunsigned", x["mask"], F.lit(16) - i))
+        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(bit(i), F.substring(x["packed"], rank(i) * 32 + 1, F.lit(32))))
+
+    return held(F.struct(mask.cast("int").alias("mask"), packed.alias("packed")), kids)
 
 
 def wire(node_type: Column, content: Column) -> Column:
