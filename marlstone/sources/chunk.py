@@ -4,6 +4,10 @@ spark.read.format("ledgerchunk").option("section", ...).load(path or glob): sect
 checkpoint, delta, header and tx. A file is one partition; its digest is checked by a
 streaming pass before anything is parsed, and no file is held in memory. Paths must be
 readable where tasks run.
+
+Version 2 has two bytes for a ledger's number of transactions. A range with a ledger of more
+than 65,535 is written as version 3, which has four, and whose digest begins with the magic
+and the version; it is the same otherwise.
 """
 
 from __future__ import annotations
@@ -22,7 +26,9 @@ from ..functions.expr import be
 from ..types import DELTA, HEADER, NODE, TX_ROW
 
 #: Values of the file format (fixed values).
-MAGIC, FOOTER, VERSION = b"XRLA", b"ENDX", 2
+MAGIC, FOOTER, VERSION, WIDE_VERSION = b"XRLA", b"ENDX", 2, 3
+#: Bytes of a ledger's number of transactions, by version.
+TX_COUNT = {VERSION: 2, WIDE_VERSION: 4}
 NAME = "xrla_{}_{:010}_{:010}.xrla"
 HEADER_BYTES, DIGEST_AT = 81, 49
 SCHEMAS = {
@@ -57,16 +63,20 @@ def read_head(f: BinaryIO) -> dict:
     if exactly(f, 4) != MAGIC:
         raise ChunkError("not a chunk file")
     version = number(f, 1)
-    if version != VERSION:
+    if version not in TX_COUNT:
         raise ChunkError(f"unsupported version {version}")
-    head = {"network_id": number(f, 4), "start_ledger": number(f, 4), "end_ledger": number(f, 4), "checkpoint_hash": exactly(f, 32), "chunk_hash": exactly(f, 32)}
+    head = {"version": version, "network_id": number(f, 4), "start_ledger": number(f, 4), "end_ledger": number(f, 4), "checkpoint_hash": exactly(f, 32), "chunk_hash": exactly(f, 32)}
     if head["end_ledger"] < head["start_ledger"]:
         raise ChunkError("the range ends before it starts")
     return head
 
 
+def new_digest(version: int):
+    return hashlib.sha512(b"" if version == VERSION else MAGIC + bytes([version]))
+
+
 def check_digest(f: BinaryIO, head: dict) -> None:
-    h = hashlib.sha512()
+    h = new_digest(head["version"])
     while part := f.read(1 << 20):
         h.update(part)
     if h.digest()[:32] != head["chunk_hash"]:
@@ -119,7 +129,7 @@ def rows_of(f: BinaryIO, path: str, section: str) -> Iterator[tuple]:
         header = (seq, ledger_hash, account_hash, Decimal(number(f, 8)), number(f, 4), number(f, 4), number(f, 1), number(f, 1))
         if section == "header":
             yield header
-        for _ in range(number(f, 2)):
+        for _ in range(number(f, TX_COUNT[head["version"]])):
             tx = (seq, exactly(f, 32), exactly(f, number(f, 4)), exactly(f, number(f, 4)))
             if section == "tx":
                 yield tx
@@ -171,7 +181,7 @@ def node_record() -> F.Column:
     return F.concat("hash", be(F.col("node_type"), 1), be(F.length("content"), 2), "content")
 
 
-def segments(headers: DataFrame, checkpoint: DataFrame, delta: DataFrame, tx: DataFrame, start: int, end: int) -> DataFrame:
+def segments(headers: DataFrame, checkpoint: DataFrame, delta: DataFrame, tx: DataFrame, start: int, end: int, version: int = VERSION) -> DataFrame:
     """All records of a chunk's body with the order they are written in: part, ledger_seq, sub, key, data."""
     none = F.lit(None).cast("binary")
     seq = F.col("ledger_seq")
@@ -182,7 +192,7 @@ def segments(headers: DataFrame, checkpoint: DataFrame, delta: DataFrame, tx: Da
     txs = tx.where(inside)
     sums = every.select("ledger_seq").distinct().join(added.groupBy("ledger_seq").agg(F.count(F.lit(1)).alias("a")), "ledger_seq", "left").join(gone.groupBy("ledger_seq").agg(F.count(F.lit(1)).alias("d")), "ledger_seq", "left").na.fill(0, ["a", "d"]).where(seq > start)
     with_n = every.join(txs.groupBy("ledger_seq").agg(F.count(F.lit(1)).alias("n")), "ledger_seq", "left").na.fill(0, ["n"])
-    head = F.concat(be(seq, 4), "ledger_hash", "account_hash", be(F.col("drops"), 8), be(F.col("parent_close_time"), 4), be(F.col("close_time"), 4), be(F.col("close_time_resolution"), 1), be(F.col("close_flags"), 1), be(F.col("n"), 2))
+    head = F.concat(be(seq, 4), "ledger_hash", "account_hash", be(F.col("drops"), 8), be(F.col("parent_close_time"), 4), be(F.col("close_time"), 4), be(F.col("close_time_resolution"), 1), be(F.col("close_flags"), 1), be(F.col("n"), TX_COUNT[version]))
     parts = [
         _record(checkpoint.agg(F.count(F.lit(1)).alias("n")), 0, first, 0, none, be(F.col("n"), 4)),
         _record(checkpoint, 0, first, 1, F.col("hash"), node_record()),
@@ -206,12 +216,14 @@ def write_chunk(headers: DataFrame, checkpoint: DataFrame, delta: DataFrame, tx:
     found = headers.where(F.col("ledger_seq").between(start, end)).agg(F.count(F.lit(1)), F.countDistinct("ledger_seq"), F.max(F.when(F.col("ledger_seq") == start, F.col("ledger_hash")))).collect()[0]
     if found[0] != end - start + 1 or found[1] != found[0]:
         raise ValueError("a range needs one header for each ledger")
+    most = tx.where(F.col("ledger_seq").between(start, end)).groupBy("ledger_seq").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).collect()[0][0] or 0
+    version = VERSION if most < 1 << 8 * TX_COUNT[VERSION] else WIDE_VERSION
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, filename(network_id, start, end))
-    digest = hashlib.sha512()
-    ordered = segments(headers, checkpoint, delta, tx, start, end).orderBy("part", "ledger_seq", "sub", "key").select("data")
+    digest = new_digest(version)
+    ordered = segments(headers, checkpoint, delta, tx, start, end, version).orderBy("part", "ledger_seq", "sub", "key").select("data")
     with open(path, "wb", buffering=1 << 20) as f:
-        f.write(MAGIC + bytes([VERSION]) + b"".join(x.to_bytes(4, "big") for x in (network_id, start, end)) + bytes(found[2]) + bytes(32))
+        f.write(MAGIC + bytes([version]) + b"".join(x.to_bytes(4, "big") for x in (network_id, start, end)) + bytes(found[2]) + bytes(32))
         for row in ordered.toLocalIterator(prefetchPartitions=True):
             digest.update(row[0])
             f.write(row[0])

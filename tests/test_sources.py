@@ -286,6 +286,23 @@ def test_range_limits(two, tmp_path):
         chunk.write_chunk(two.headers, two.checkpoint, two.delta, two.tx, 100, 103, str(tmp_path))
 
 
+def test_a_ledger_of_more_transactions_than_two_bytes_count(spark, two, tmp_path):
+    n = 1 << 16
+    blob = F.encode(F.col("id").cast("string"), "UTF-8")
+    many = spark.range(n).select(F.lit(101).cast("bigint").alias("ledger_seq"), X.sha256(blob).alias("tx_hash"), blob.alias("tx_blob"), blob.alias("meta_blob"))
+    tx = two.tx.where("ledger_seq = 100").unionByName(many.select(*two.tx.columns))
+    path, digest = chunk.write_chunk(two.headers, two.checkpoint, two.delta, tx, 100, 101, str(tmp_path))
+    data = open(path, "rb").read()
+    assert data[4] == chunk.WIDE_VERSION and digest == data[49:81] == half(data[:5] + data[81:])
+    got = api.read_chunk(spark, path).tx
+    assert got.count() == n + 1 and got.exceptAll(tx.select(*got.columns)).isEmpty()
+    assert {r.ledger_seq: r.txns for r in api.inspect(spark, path).collect()} == {100: 1, 101: n}
+    other = tmp_path / "two.bin"
+    other.write_bytes(data[:4] + b"\2" + data[5:])
+    with pytest.raises(Exception, match="digest"):
+        spark.read.format("ledgerchunk").load(str(other)).collect()
+
+
 def test_report_sizes(two):
     assert report.sizes(two.delta).collect()[0].bytes == 16 + 512 + 2 * 33
 
