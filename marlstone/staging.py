@@ -43,7 +43,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors. by: columns that folders are made of."""
     path = new_folder(df.sparkSession, name)
-    df.write.options(**options).partitionBy(*by).parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
