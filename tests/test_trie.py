@@ -174,3 +174,62 @@ def test_first_shard_that_can_be_decoded(spark):
     rows = [(b"a", 1, None, 0), (b"a", 1, b"second", 1), (b"b", 1, b"first", 0), (b"b", 1, b"second", 1), (b"c", 1, None, 0)]
     d = spark.createDataFrame([(bytearray(h), t, None if c is None else bytearray(c), s) for h, t, c, s in rows], "hash binary, node_type tinyint, content binary, shard_ord int")
     assert {bytes(r.hash): bytes(r.content) for r in trie.first_of_shards(d).collect()} == {b"a": b"second", b"b": b"first"}
+
+
+def moved(spark, run):
+    """(bytes shuffled, bytes written) by run(), without broadcasts that Spark chooses by itself."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        all_ = [stages.apply(i) for i in range(stages.size())]
+        return sum(s.shuffleWriteBytes() for s in all_), sum(s.outputBytes() for s in all_)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = total()
+        run()
+        return tuple(b - a for a, b in zip(before, total(), strict=True))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_walks_move_contents_once(spark, tmp_path):
+    """Leaves of 4,000 random bytes: they went through a shuffle and a file for each level of a walk."""
+    r, rows, roots, size = random.Random(3), [], [], 0
+    items = {k: r.randbytes(4000) for k in keys(300, 4)}
+    for n in (200, 300):
+        own, inner = dict(list(items.items())[:n]), {}
+        roots.append(build({k: half(c) for k, c in own.items()}, inner))
+        rows += [(bytearray(h), 2, bytearray(c)) for h, c in inner.items()]
+    rows += [(bytearray(half(c)), 1, bytearray(c)) for c in items.values()]
+    spark.createDataFrame(rows, "hash binary, node_type tinyint, content binary").write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    size = sum(len(c) for _, _, c in rows)
+    one = spark.createDataFrame([(0, bytearray(roots[1]))], "g long, root binary")
+    shuffled, written = moved(spark, lambda: trie.reachable(nodes, one, ["g"]).count())
+    assert shuffled < 1.3 * size and written < 1.3 * size
+    pair = spark.createDataFrame([(1, bytearray(roots[0]), bytearray(roots[1]))], "g long, old binary, new binary")
+    shuffled, written = moved(spark, lambda: trie.diff(nodes, pair, ["g"]).count())
+    assert shuffled < 1.3 * size and written < 1.3 * size
+
+
+def test_nodes_may_repeat(spark, moving):
+    nodes, pairs = delta(spark, moving)
+    r = pairs.select("ledger_seq", F.col("new").alias("root"))
+    key = lambda d: sorted(map(str, d.collect()))
+    assert key(trie.reachable(nodes.union(nodes), r, ["ledger_seq"])) == key(trie.reachable(nodes, r, ["ledger_seq"]))
+    leaves = trie.reachable(nodes, r, ["ledger_seq"], leaves=True)
+    assert key(leaves) == key(trie.reachable(nodes, r, ["ledger_seq"]).where("node_type = 1"))
+    with pytest.raises(Exception, match="not found"):
+        trie.reachable(nodes.where("node_type = 2"), r, ["ledger_seq"], leaves=True)
+
+
+def test_building_moves_keys_not_paths(spark, tmp_path):
+    """A leaf is a key and a hash of 32 random bytes each; its path of 64 digits went with it."""
+    n = 20_000
+    d = spark.range(n).select(F.lit(1).alias("g"), X.sha256(F.encode(F.concat(F.lit("k"), F.col("id").cast("string")), "UTF-8")).alias("key"), X.sha256(F.encode(F.col("id").cast("string"), "UTF-8")).alias("leaf_hash"))
+    d.write.parquet(str(tmp_path / "items"))
+    shuffled, written = moved(spark, lambda: merkle.build_trie(spark.read.parquet(str(tmp_path / "items")), ["g"], X.sha256, nodes=False).roots.collect())
+    assert written < 90 * n and shuffled < 200 * n, (written / n, shuffled / n)
