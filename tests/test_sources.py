@@ -3,13 +3,16 @@
 import hashlib
 import sqlite3
 
+import pyarrow as pa
 import pytest
 import xxhash
 from marlstone import api
 from marlstone.functions import expr as X
 from marlstone.operators import merkle, report, verify
 from marlstone.sources import chunk, hashstore, register
+from marlstone.sources.batches import joined
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def half(b):
@@ -319,3 +322,37 @@ def test_streaming(spark, two, tmp_path):
     counted = streaming.counts(live, "at").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     counted.awaitTermination(120)
     assert sorted(r.n for r in spark.table("counted").collect()) == [2, 2]
+
+
+def test_a_range_of_buckets_reads_little_beside_its_records(spark, tmp_path):
+    """Reading a range once read the whole file, so all ranges together its square."""
+    rows = [(hashlib.sha256(str(i).encode()).digest(), bytes(1000)) for i in range(6000)]
+    dat, key = hashstore.write_store(entries(spark, rows), str(tmp_path), buckets=60)
+    read = lambda: int(open("/proc/self/io").read().split()[1])
+    before = read()
+    found = list(hashstore.read_buckets(dat, hashstore.KeyFile(key), 0, 1))
+    assert 0 < len(found) < 300
+    assert read() - before < 1 << 20
+
+
+def test_batches_that_end_within_a_bucket_give_the_same_store(spark, tmp_path):
+    rows = [(hashlib.sha256(str(i).encode()).digest(), bytes(i % 50)) for i in range(1500)]
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = {}
+    try:
+        for most in (held, "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            files[most] = [open(p, "rb").read() for p in hashstore.write_store(entries(spark, rows), str(tmp_path / most), buckets=3)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert files[held] == files["7"]
+    dat, key = str(tmp_path / "7" / "store.dat"), hashstore.KeyFile(str(tmp_path / "7" / "store.key"))
+    parts = hashstore.StoreReader([dat], 2, "buckets", to_arrow_schema(spark.createDataFrame([], "hash binary, value binary, shard_ord int, bucket bigint").schema))
+    batches = [b for p in parts.partitions() for b in parts.read(p)]
+    assert all(isinstance(b, pa.RecordBatch) for b in batches)
+    assert sorted((r["hash"], r["value"]) for b in batches for r in b.to_pylist()) == sorted(rows)
+
+
+def test_a_null_record_is_not_left_out_of_a_file(spark):
+    with pytest.raises(Exception, match="a record to be written is null"):
+        list(joined(spark.createDataFrame([(b(b"a"),), (None,)], "data binary")))
