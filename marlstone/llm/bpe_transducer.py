@@ -6,9 +6,9 @@ nondeterministic machine holds, for every place where an unfinished token may be
 node of the vocabulary's trie it has reached and the token before that place. A state of
 the determinised machine is the tuple of these items, each with its tokens not yet
 emitted; tokens that all items share are emitted, which happens after a bounded number of
-bytes. Transitions are made when met again and kept in a table of bounded size; where one is
-missing, the nondeterministic machine takes the piece to its end, so that rare pieces
-don't fill the table.
+bytes. Transitions are made when met often and kept in a table of bounded size; where one is
+missing, the nondeterministic machine takes the piece to its end, depth first, so that rare
+pieces don't fill the table.
 
 Decoding maps ids to bytes and follows UTF-8 with a state machine that keeps an unfinished
 character between calls. The machine's steps are tabled for whole tokens too, so that a
@@ -20,6 +20,7 @@ Null and empty texts give no ids. Rows are encoded one by one.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ from .pretokens import PieceIds, batch_ids, packed, with_pieces
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Transitions kept by a worker; beyond them the table starts anew.
 TABLE = 150_000
+#: How often a transition is met before it is kept: making one costs more than walking some pieces to their end.
+OFTEN = 8
 #: Pieces whose ids a worker keeps, beside the table.
 MEMO = 300_000
 
@@ -78,7 +81,7 @@ class Transducer:
         start = ((0, -1, ()),)  # node, token before, tokens not emitted
         self.states, self.number = [start], {start: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.met: set[int] = set()
+        self.met: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
 
     def split(self, token: bytes) -> tuple[bytes, bytes]:
@@ -153,31 +156,43 @@ class Transducer:
             return tuple(items), ()
         return tuple((n, b, c[shared:]) for n, b, c in items), first[:shared]
 
-    def finish(self, state: tuple, rest: bytes) -> list[int]:
-        """What is emitted from a state on to the end of a piece, by the nondeterministic machine: nothing is kept for later."""
-        edge, token_at, pairs = self.edges.get, self.token_at, self.pairs
-        live = [(node, before, (chain, None)) for node, before, chain in state]
-        for x in rest:
-            items, last = [], None
-            for node, before, path in live:
-                to = edge(node << 8 | x)
-                if to is not None:
-                    items.append((to, before, path))
-                    if last is None:
-                        token = token_at[to]
-                        if token >= 0:
-                            ok = before < 0 or pairs.get(before << 24 | token)
-                            if ok or ok is None and self.follows(before, token):
-                                last = (0, token, ((token,), path))
-            if last is None:
-                raise ValueError("a byte is missing from the vocabulary")
-            items.append(last)
-            live = items
-        path, parts = live[-1][2], []
-        while path is not None:
-            parts.append(path[0])
-            path = path[1]
-        return [t for part in reversed(parts) for t in part]
+    def finish(self, before: int, rest: bytes) -> list[int]:
+        """The tokens of what is left of a piece after a token (-1: none), by the nondeterministic machine: nothing is kept for later.
+
+        It is walked depth first, the longest token first. As a prefix has one encoding, a place
+        from which the walk has come back is no border of tokens, and is not entered again.
+        """
+        edge, token_at, pairs, n = self.edges.get, self.token_at, self.pairs, len(rest)
+        ids: list[int] = []
+        path: list[tuple[int, int, list[tuple[int, int]]]] = []
+        at, closed, left = 0, set(), None
+        while at < n:
+            if left is None:  # the tokens that begin here, each with its end
+                left, node = [], 0
+                for end in range(at, n):
+                    node = edge(node << 8 | rest[end])
+                    if node is None:
+                        break
+                    token = token_at[node]
+                    if token >= 0:
+                        left.append((end + 1, token))
+            while left:
+                end, token = left.pop()
+                if end in closed:
+                    continue
+                ok = before < 0 or pairs.get(before << 24 | token)
+                if ok or ok is None and self.follows(before, token):
+                    path.append((at, before, left))
+                    ids.append(token)
+                    at, before, left = end, token, None
+                    break
+            else:
+                if not path:
+                    raise ValueError("a byte is missing from the vocabulary")
+                closed.add(at)
+                at, before, left = path.pop()
+                ids.pop()
+        return ids
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.steps) > self.most or len(self.met) > 4 * self.most:
@@ -190,9 +205,9 @@ class Transducer:
             key = state << 8 | x
             got = steps.get(key)
             if got is None:
-                if key not in self.met:  # a transition enters the table when it is met again
-                    self.met.add(key)
-                    return ids + self.finish(states[state], piece[i:])
+                times = self.met[key] = self.met.get(key, 0) + 1
+                if times < OFTEN:  # a transition enters the table when it is met often
+                    return ids + self.finish(ids[-1] if ids else -1, piece[sum(len(self.bytes_of[t]) for t in ids) :])
                 to, out = self.step(states[state], x)
                 number = self.number.get(to)
                 if number is None:
@@ -334,7 +349,11 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
         each = t.encode
         ids = PieceIds(lambda pieces: [packed(each(p.encode())) for p in pieces], lambda text: packed([x for p in split.findall(text) for x in each(p.encode())]), MEMO)
         for b in slices(batches):
-            tokens, bounds = batch_ids(b.column("__pieces"), b.column("__whole"), ids)
+            gc.disable()  # nothing made here is in a cycle, and the tables are long to look through
+            try:
+                tokens, bounds = batch_ids(b.column("__pieces"), b.column("__whole"), ids)
+            finally:
+                gc.enable()
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in named), lists], [*named, "ids"])
 

@@ -697,3 +697,18 @@ def test_components(spark, local):
     found = components(spark.createDataFrame(links, "a long, b long"), local=local).collect()
     assert {x.node: x.component for x in found} == want and len(found) == len(want)
     assert components(spark.createDataFrame([], "a long, b long"), local=local).count() == 0
+
+
+def test_rare_pieces_are_walked_depth_first():
+    """finish() takes what is left after a token, and comes back from tokens that nothing can follow."""
+    import random
+
+    from marlstone.llm import bpe_transducer
+
+    ranks = bpe_transducer.load_ranks(packing.vocabulary_path(bpe_transducer.VOCABULARY))
+    t, r = bpe_transducer.Transducer(ranks), random.Random(5)
+    pieces = [bytes(r.choices(b"abcdenrst aeio", k=r.randint(1, 40))) for _ in range(600)] + [r.randbytes(r.randint(1, 20)) for _ in range(300)]
+    for p in pieces:
+        ids = bpe_transducer.merge(p, ranks)
+        assert t.finish(-1, p) == ids == t.encode(p)
+        assert ids[:1] + t.finish(ids[0], p[len(t.bytes_of[ids[0]]) :]) == ids
