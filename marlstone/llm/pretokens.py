@@ -126,7 +126,27 @@ def tokenizer(path: str):
     return _HELD[path]
 
 
+#: A byte as the character that stands for it in a byte-level vocabulary: those that can be seen stand for themselves.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SEEN)))}
+#: Pieces of code points below this one are cut alike by all Unicode tables.
+STABLE = "\u0250"
+
+
 def json_ids(path: str) -> PieceIds:
+    """Pieces go to the library's model itself, where nothing else of it touches them; it is spared to cut a piece again."""
     t = tokenizer(path)
-    encode = lambda texts: [packed(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-    return PieceIds(encode, lambda text: encode([text])[0])
+    each = lambda texts: [packed(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    whole = lambda text: each([text])[0]
+    cut, model = t.pre_tokenizer, t.model
+    if type(cut).__name__ != "ByteLevel" or cut.add_prefix_space or t.normalizer is not None or t.post_processor is not None:
+        return PieceIds(each, whole)
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        out = [packed([x.id for x in model.tokenize(p.encode().decode("latin-1").translate(BYTES))]) if p.isascii() or max(p) < STABLE else None for p in pieces]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, each([pieces[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+    return PieceIds(encode, whole)

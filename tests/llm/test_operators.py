@@ -712,3 +712,27 @@ def test_rare_pieces_are_walked_depth_first():
         ids = bpe_transducer.merge(p, ranks)
         assert t.finish(-1, p) == ids == t.encode(p)
         assert ids[:1] + t.finish(ids[0], p[len(t.bytes_of[ids[0]]) :]) == ids
+
+
+def test_plain_pieces_go_to_the_model_itself(monkeypatch):
+    from marlstone.llm import pretokens
+
+    path = packing.vocabulary_path()
+    ids = pretokens.json_ids(path)
+    t = pretokens.tokenizer(path)
+    assert len(set(pretokens.BYTES.values())) == 256
+    plain = [" the", "QXZJKV", "12345", "\n\n", " \t", "...", "é", " señor", "größe", "\x00\x7f", "\xad\xa0", "'s"]
+    other = ["Ελλάδα", " 日本", "😀"]
+    assert ids.encode(plain + other + plain) == [pretokens.packed(t.encode(p, add_special_tokens=False).ids) for p in plain + other + plain]
+    asked = []
+
+    class Counting:
+        pre_tokenizer, model, normalizer, post_processor = t.pre_tokenizer, t.model, None, None
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.extend(texts)
+            return t.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setattr(pretokens, "tokenizer", lambda path: Counting())
+    pretokens.json_ids(path).encode(plain + other)
+    assert asked == other
