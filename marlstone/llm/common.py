@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ __all__ = ["anti", "asked", "build_filter", "copies", "hashed_sample", "importab
 
 #: A membership filter has FILTER_BITS bits for each key, at most FILTER_MAX_BITS (8 MB in all).
 FILTER_BITS, FILTER_MAX_BITS, BITMAP_BITS = 16, 1 << 26, 32768
+#: Settings of a JVM: the percentage of its heap that is free after a collection, at least and at most.
+_FREE = ("MinHeapFreeRatio", "MaxHeapFreeRatio")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +52,28 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 4 <<
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver drop what ran before: Spark removes shuffle files and broadcasts when its frames are collected as garbage, here and in its JVM."""
+    """Let the driver drop what ran before and give its memory back: Spark removes shuffle files and broadcasts when its frames are collected as garbage, here and in its JVM.
+
+    A JVM keeps a heap of more than three times what lives in it; while this collection runs, a fifth more has to do.
+    """
     gc.collect()
-    spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    jvm = spark._jvm
+    try:
+        beans = jvm.java.lang.management.ManagementFactory
+        kind = jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
+        flags = beans.newPlatformMXBeanProxy(beans.getPlatformMBeanServer(), "com.sun.management:type=HotSpotDiagnostic", kind)
+        least, most = (flags.getVMOption(n).getValue() for n in _FREE)
+    except Py4JError:  # another JVM
+        jvm.System.gc()
+        return
+    try:
+        flags.setVMOption(_FREE[0], "5")
+        flags.setVMOption(_FREE[1], "20")
+        jvm.System.gc()
+    finally:
+        flags.setVMOption(_FREE[1], most)
+        flags.setVMOption(_FREE[0], least)
 
 
 def text_of(name: str) -> Column:

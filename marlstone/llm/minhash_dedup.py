@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import copies, importable, may_contain, salted, slices, spread_join, stage, table, text_of
+from .common import copies, importable, may_contain, release, salted, slices, spread_join, stage, table, text_of
 from .components import components
 
 HASHES, BAND, WIDTH, PERCENT, ROUNDS = 48, 4, 5, 80, 2
@@ -251,6 +251,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)  # noqa: E731  sizes that the similarity allows
     bucket = ["band", "value"]
     for k in range(ROUNDS + 1):
+        release(docs.sparkSession)
         # Members of buckets that still hold several components, with these.
         member = stage(open_.join(found, "rep"), "minhash-members")
         order = F.xxhash64("rep", F.lit(k)) if k else F.col("rep")

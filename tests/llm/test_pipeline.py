@@ -6,6 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from marlstone.llm import language_id, secret_scan
+from marlstone.llm.common import release
 from pyspark.sql import functions as F
 
 from test_operators import CLASH, components_of, fused, library, plain_spans, rows, shingles, text
@@ -81,3 +82,15 @@ def test_run(spark):
     found = corpus_pipeline.run(spark, SF).collect()
     assert len({r.sequence_id for r in found}) == len(found) and all(r.offset == 0 for r in found)
     assert {(r.doc_id, r.start, r.length, bytes(r.ids), r.doc_tokens) for r in found} == want and len(found) == len(want)
+
+
+def test_release_gives_the_heap_back(spark):
+    """The driver's JVM once kept a heap of three times what lives in it between stages, and another's settings stay as they are."""
+    beans = spark._jvm.java.lang.management.ManagementFactory
+    kind = spark._jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
+    flags = beans.newPlatformMXBeanProxy(beans.getPlatformMBeanServer(), "com.sun.management:type=HotSpotDiagnostic", kind)
+    now = lambda: [flags.getVMOption(n).getValue() for n in ("MinHeapFreeRatio", "MaxHeapFreeRatio")]
+    held, runtime = now(), spark._jvm.java.lang.Runtime.getRuntime()
+    release(spark)
+    assert runtime.totalMemory() < 2 * (runtime.totalMemory() - runtime.freeMemory())
+    assert now() == held
